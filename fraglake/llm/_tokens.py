@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that each of the two generations of the cache holds.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 500_000
 #: Longer pieces are encoded each time.
 CACHE_CHARS = 40
 
+#: Unknown pieces that go to the library as one text.
+JOINED = 64
+
 _CUT = re.compile(r" (?=\S)")
 
 
@@ -40,6 +43,9 @@ class PieceEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._limit = cache_pieces
+        vocabulary = self._tokenizer.get_vocab()
+        self._leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self._leads[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
@@ -47,7 +53,14 @@ class PieceEncoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        found = dict(zip(missing, self._raw([" " + p for p in missing]), strict=True))
+        """Pieces are joined by their spaces again; of the ids, those that begin with a space begin a piece."""
+        groups = [missing[i : i + JOINED] for i in range(0, len(missing), JOINED)]
+        found: dict[str, bytes] = {}
+        for group, raw in zip(groups, self._raw([" " + " ".join(g) for g in groups]), strict=True):
+            cuts = np.flatnonzero(self._leads[np.frombuffer(raw, dtype="<u4")]).tolist()
+            if len(cuts) != len(group):
+                raise RuntimeError("a piece was not encoded by itself")
+            found.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(group, cuts, [*cuts[1:], len(raw) // 4], strict=True))
         if len(self._young) > self._limit:
             self._old, self._young = self._young, {}
         self._young.update((p, b) for p, b in found.items() if len(p) <= CACHE_CHARS)
@@ -55,30 +68,29 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        cut, heads, missing = [], [], {}
         young, old = self._young, self._old
+        rows, heads, holes, missing = [], [], [], {}
         for text in texts:
-            pieces = text.split(" ")
-            heads.append(pieces[0])
-            for p in pieces[1:]:
-                if p not in young and p not in missing:
-                    if (ids := old.get(p)) is not None:
-                        young[p] = ids
-                    elif p and not p[0].isspace():
-                        missing[p] = None
-                    else:  # white space follows a space: cut only where it doesn't
-                        pieces = _CUT.split(text)
-                        heads[-1] = pieces[0]
-                        missing.update((q, None) for q in pieces[1:] if q not in young and q not in old)
-                        break
-            cut.append(pieces)
+            head, *pieces = text.split(" ")
+            row = list(map(young.get, pieces))
+            if None in row:
+                fresh = [p for p, ids in zip(pieces, row, strict=True) if ids is None]
+                if any(not p or p[0].isspace() for p in fresh):  # white space follows a space: cut only where it doesn't
+                    head, *pieces = _CUT.split(text)
+                    row = list(map(young.get, pieces))
+                for i, p in enumerate(pieces):
+                    if row[i] is None:
+                        if (ids := old.get(p)) is not None:
+                            young[p] = row[i] = ids
+                        else:
+                            holes.append((row, i, p))
+                            missing[p] = None
+            heads.append(head)
+            rows.append(row)
         found = self._learn(list(missing)) if missing else {}
-        first = self._raw(heads)
-        out = []
-        for head, pieces in zip(first, cut, strict=True):
-            rest = [young.get(p) or found.get(p) or old.get(p) for p in pieces[1:]]
-            out.append(b"".join([head, *rest]))
-        return out
+        for row, i, p in holes:
+            row[i] = found[p]
+        return [b"".join([first, *row]) for first, row in zip(self._raw(heads), rows, strict=True)]
 
 
 @lru_cache(maxsize=2)

@@ -31,10 +31,13 @@ from . import _store, _tokens
 #: Ids in a shard; a longer document is a shard by itself.
 SHARD_TOKENS = 1 << 20
 #: Rounds of replacement, each of all pairs found frequent in that round.
-MAX_ROUNDS = 12
+MAX_ROUNDS = 8
 #: A pair that occurs less often gets no rule.
 MIN_COUNT = 4
+#: A round takes the pairs that occur at least so many times less often than its most frequent one.
+STEP = 16
 _SLOTS = 1 << 18
+BROADCAST_SHARDS = 1_000_000
 _MAGIC = b"RPSHARD1"
 
 
@@ -54,7 +57,7 @@ def _hash(keys: np.ndarray) -> np.ndarray:
 def compress(ids: np.ndarray, first_symbol: int, max_rounds: int = MAX_ROUNDS, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
     """Re-Pair in rounds: the rules (left, right; rule i defines symbol first_symbol + i) and the sequence left.
 
-    A round takes the pairs that occur at least a quarter as often as the most
+    A round takes the pairs that occur at least 1 / ``STEP`` as often as the most
     frequent one.  Where chosen pairs overlap, the more frequent one is replaced.
     """
     seq, rules, symbol = ids.astype(np.uint32), [np.zeros((0, 2), dtype=np.uint32)], first_symbol
@@ -64,27 +67,30 @@ def compress(ids: np.ndarray, first_symbol: int, max_rounds: int = MAX_ROUNDS, m
         keys, counts = _frequent(seq, min_count)
         if not len(keys):
             break
-        chosen = counts >= max(min_count, int(counts.max()) // 4)
+        chosen = counts >= max(min_count, int(counts.max()) // STEP)
         keys, counts = keys[chosen], counts[chosen]
         order = np.argsort(counts, kind="stable")  # of those that meet in a slot, the most frequent stays
-        slot_key, slot_count = np.zeros(_SLOTS, dtype=np.uint64), np.zeros(_SLOTS, dtype=np.int64)
+        slot_key, slot_count = np.zeros(_SLOTS, dtype=np.uint64), np.zeros(_SLOTS, dtype=np.int32)
         slots = _hash(keys[order])
         slot_key[slots], slot_count[slots] = keys[order], counts[order]
 
         pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         at = _hash(pairs)
-        weight = np.where((slot_key[at] == pairs) & (slot_count[at] > 0), slot_count[at], 0)
-        padded = np.concatenate([[0], weight, [0]])
-        peak = (weight > 0) & (weight >= padded[:-2]) & (weight >= padded[2:])
-        place = np.flatnonzero(peak)
+        hit = np.flatnonzero(slot_key[at] == pairs)
+        weight = np.zeros(len(pairs) + 2, dtype=np.int32)
+        weight[hit + 1] = slot_count[at[hit]]
+        mine = weight[hit + 1]
+        place = hit[(mine > 0) & (mine >= weight[hit]) & (mine >= weight[hit + 2])]
         run = np.concatenate([[True], np.diff(place) > 1])
         begin = place[np.maximum.accumulate(np.where(run, np.arange(len(place)), 0))]
         place = place[(place - begin) % 2 == 0]  # of neighbours in a run, every other one
 
-        used, inverse = np.unique(pairs[place], return_inverse=True)
+        taken = np.zeros(_SLOTS, dtype=bool)
+        taken[at[place]] = True
+        used = slot_key[taken]
         rules.append(np.stack([used >> np.uint64(32), used & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        seq = seq.copy()
-        seq[place] = (symbol + inverse).astype(np.uint32)
+        number = np.cumsum(taken, dtype=np.int64) - 1
+        seq[place] = (symbol + number[at[place]]).astype(np.uint32)
         keep = np.ones(len(seq), dtype=bool)
         keep[place + 1] = False
         seq, symbol = seq[keep], symbol + len(used)
@@ -160,8 +166,9 @@ class Shard:
 
     def ids(self) -> np.ndarray:
         """All ids; raises where they aren't those that were written."""
-        ids = expand(self.seq, self.rules, self.first_symbol)
-        if len(ids) != self.n_ids or zlib.crc32(ids.astype("<u4").tobytes()) != self.crc:
+        known = not len(self.seq) or int(self.seq.max()) < self.first_symbol + len(self.rules)
+        ids = expand(self.seq, self.rules, self.first_symbol) if known else self.seq
+        if not known or len(ids) != self.n_ids or zlib.crc32(ids.astype("<u4").tobytes()) != self.crc:
             raise ValueError("a shard is damaged")
         return ids
 
@@ -232,6 +239,8 @@ def read(spark, path: str) -> DataFrame:
     within = W.partitionBy("part").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)
     starts = shards.select("part", "shard", (F.sum("n_ids").over(within) - F.col("n_ids")).alias("shard_start"))
     starts = starts.join(parts, "part").select("part", "shard", (F.col("part_start") + F.col("shard_start")).alias("base"))
+    if shards.count() <= BROADCAST_SHARDS:  # of 16 bytes each; beyond that the payloads are shuffled to them
+        starts = F.broadcast(starts)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
