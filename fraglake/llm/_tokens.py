@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that each of the two generations of the cache holds.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 700_000
 #: Longer pieces are encoded each time.
 CACHE_CHARS = 40
 
+#: Of a known word with one of these after it, the ids are put together.
+MARKS = ",.;:!?"
 #: Unknown pieces that go to the library as one text.
 JOINED = 64
 
@@ -43,6 +45,7 @@ class PieceEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._limit = cache_pieces
+        self._marks = dict(zip(MARKS, self._raw(list(MARKS)), strict=True))
         vocabulary = self._tokenizer.get_vocab()
         self._leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self._leads[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
@@ -54,8 +57,10 @@ class PieceEncoder:
 
     def _learn(self, missing: list[str]) -> dict[str, bytes]:
         """Pieces are joined by their spaces again; of the ids, those that begin with a space begin a piece."""
-        groups = [missing[i : i + JOINED] for i in range(0, len(missing), JOINED)]
-        found: dict[str, bytes] = {}
+        inner = [p for p in missing if " " in p]  # white space next to a space stands in them: by themselves
+        found = dict(zip(inner, self._raw([" " + p for p in inner]), strict=True))
+        plain = [p for p in missing if p not in found] if inner else missing
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         for group, raw in zip(groups, self._raw([" " + " ".join(g) for g in groups]), strict=True):
             cuts = np.flatnonzero(self._leads[np.frombuffer(raw, dtype="<u4")]).tolist()
             if len(cuts) != len(group):
@@ -68,23 +73,25 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        young, old = self._young, self._old
+        young, old, marks = self._young, self._old, self._marks
         rows, heads, holes, missing = [], [], [], {}
         for text in texts:
             head, *pieces = text.split(" ")
             row = list(map(young.get, pieces))
-            if None in row:
-                fresh = [p for p, ids in zip(pieces, row, strict=True) if ids is None]
-                if any(not p or p[0].isspace() for p in fresh):  # white space follows a space: cut only where it doesn't
-                    head, *pieces = _CUT.split(text)
-                    row = list(map(young.get, pieces))
-                for i, p in enumerate(pieces):
-                    if row[i] is None:
-                        if (ids := old.get(p)) is not None:
-                            young[p] = row[i] = ids
-                        else:
-                            holes.append((row, i, p))
-                            missing[p] = None
+            fresh = [i for i, ids in enumerate(row) if ids is None]
+            if any(not pieces[i] or pieces[i][0].isspace() for i in fresh):  # white space follows a space: cut only where it doesn't
+                head, *pieces = _CUT.split(text)
+                row = list(map(young.get, pieces))
+                fresh = [i for i, ids in enumerate(row) if ids is None]
+            for i in fresh:
+                p = pieces[i]
+                if (ids := old.get(p)) is not None:
+                    young[p] = row[i] = ids
+                elif p[-1:] in marks and p[-2:-1].isalpha() and (ids := young.get(p[:-1])) is not None:
+                    young[p] = row[i] = ids + marks[p[-1]]  # the mark after a letter is a pre-token of its own
+                else:
+                    holes.append((row, i, p))
+                    missing[p] = None
             heads.append(head)
             rows.append(row)
         found = self._learn(list(missing)) if missing else {}

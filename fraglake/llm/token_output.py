@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from . import _store, _tokens
 #: Ids in a shard; a longer document is a shard by itself.
 SHARD_TOKENS = 1 << 20
 #: Rounds of replacement, each of all pairs found frequent in that round.
-MAX_ROUNDS = 8
+MAX_ROUNDS = 6
 #: A pair that occurs less often gets no rule.
 MIN_COUNT = 4
 #: A round takes the pairs that occur at least so many times less often than its most frequent one.
@@ -164,10 +165,25 @@ class Shard:
         sizes[inner] = self.lengths[seq[inner].astype(np.int64) - self.first_symbol]
         return sizes
 
+    @cached_property
+    def _flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """What every symbol stands for, one after another, and where each begins."""
+        whole = expand(np.arange(self.first_symbol, self.first_symbol + len(self.rules)), self.rules, self.first_symbol)
+        starts = np.arange(self.first_symbol + len(self.rules), dtype=np.int64)
+        starts[self.first_symbol :] = self.first_symbol + np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        return np.concatenate([np.arange(self.first_symbol, dtype=np.uint32), whole]), starts
+
+    def _expand(self, seq: np.ndarray) -> np.ndarray:
+        flat, starts = self._flat
+        sizes = self._sizes(seq)
+        ends = np.cumsum(sizes)
+        shift = np.repeat(starts[seq] - (ends - sizes), sizes)
+        return flat[shift + np.arange(len(shift))]
+
     def ids(self) -> np.ndarray:
         """All ids; raises where they aren't those that were written."""
         known = not len(self.seq) or int(self.seq.max()) < self.first_symbol + len(self.rules)
-        ids = expand(self.seq, self.rules, self.first_symbol) if known else self.seq
+        ids = self._expand(self.seq) if known else self.seq
         if not known or len(ids) != self.n_ids or zlib.crc32(ids.astype("<u4").tobytes()) != self.crc:
             raise ValueError("a shard is damaged")
         return ids
@@ -179,7 +195,7 @@ class Shard:
         ends = np.cumsum(self._sizes(self.seq))
         lo, hi = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, start + count, side="left") + 1
         before = int(ends[lo - 1]) if lo else 0
-        return expand(self.seq[lo:hi], self.rules, self.first_symbol)[start - before : start - before + count]
+        return self._expand(self.seq[lo:hi])[start - before : start - before + count]
 
     def document(self, k: int) -> np.ndarray:
         """The ids of the shard's k-th document."""
