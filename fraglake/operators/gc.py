@@ -42,7 +42,7 @@ def lowess(y: np.ndarray, x: np.ndarray, frac: float, rounds: int = 3) -> np.nda
             break
         off = np.abs(ys - fitted)
         scale = 6 * np.median(off)
-        if scale == 0:
+        if scale <= 1e-9 * np.abs(ys).max():  # half of the points are fitted exactly
             break
         u = off / scale
         robust = np.where(u < 0.999, (1 - u**2) ** 2, 0.0)

@@ -19,19 +19,19 @@ def reference_span(cigar):
 def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Reads of SAM files in the library's schema; the sample is the file's path; starts are 0-based."""
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("sample_id"), F.split("value", "\t").alias("f")).where(~F.col("value").startswith("@"))
-    col = {n: F.col("f")[i] for i, n in enumerate(FIELDS)}
-    start = col["pos"].cast("long") - 1
+    col = {n: F.get("f", F.lit(i)) for i, n in enumerate(FIELDS)}
+    start = col["pos"].try_cast("long") - 1  # header lines may be evaluated before they are filtered out
     seq = F.when(col["seq"] != "*", col["seq"])
     return lines.where(F.size("f") >= len(FIELDS)).select(
         "sample_id",
         col["qname"].alias("qname"),
-        col["flag"].cast("int").alias("flag"),
+        col["flag"].try_cast("int").alias("flag"),
         F.when(col["rname"] != "*", col["rname"]).alias("chrom"),
         start.alias("reference_start"),
         (start + reference_span(col["cigar"])).alias("reference_end"),
-        col["mapq"].cast("int").alias("mapq"),
+        col["mapq"].try_cast("int").alias("mapq"),
         col["cigar"].alias("cigar"),
-        col["tlen"].cast("long").alias("template_length"),
+        col["tlen"].try_cast("long").alias("template_length"),
         F.coalesce(F.length(seq), F.lit(0)).alias("query_length"),
         seq.alias("query_sequence"),
     )
