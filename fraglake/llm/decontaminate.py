@@ -84,16 +84,28 @@ class Index:
             place = np.flatnonzero(_inside(self.first, len(self.words), len(mask)))
             order = np.argsort(seeds[place], kind="stable")
             place = place[order]
-            coarse = np.zeros(1 << 22, dtype=bool)
-            coarse[(seeds[place] >> np.uint64(42)).astype(np.int64)] = True
-            self.tables.append((seeds[place], place, coarse))
+            self.tables.append((seeds[place], place))
+        self._coarse: list[np.ndarray] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_coarse": None}  # 4 MB a mask, made anew where it is used
+
+    def coarse(self) -> list[np.ndarray]:
+        """For each mask, whether any seed has the given first 22 bits."""
+        if self._coarse is None:
+            self._coarse = []
+            for seeds, _ in self.tables:
+                flags = np.zeros(1 << 22, dtype=bool)
+                flags[(seeds >> np.uint64(42)).astype(np.int64)] = True
+                self._coarse.append(flags)
+        return self._coarse
 
     def search(self, hashes: np.ndarray, first: np.ndarray) -> list[list[dict]]:
         """For each text, a confirmed overlap for each item that has one: its longest run of confirmed words."""
         out: list[list[dict]] = [[] for _ in range(len(first) - 1)]
         doc_at, item_at = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         span = [np.zeros(0, dtype=np.int64)]
-        for k, (mask, (known, place, coarse)) in enumerate(zip(self.masks, self.tables, strict=True)):
+        for k, (mask, (known, place), coarse) in enumerate(zip(self.masks, self.tables, self.coarse(), strict=True)):
             if not len(known):
                 continue
             seeds = _seed(hashes, mask, k)
