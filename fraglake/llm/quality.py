@@ -207,23 +207,28 @@ def choose(table: dict[tuple[object, str], Tally], rules: tuple[Rule, ...] = RUL
 def learn(measured: DataFrame, *, stratum: str = STRATUM, good: str = "good", rules: tuple[Rule, ...] = RULES, risk: float = RISK, delta: float = DELTA, max_strata: int = MAX_STRATA) -> dict[object, dict[str, float]]:
     """Cutoffs from labelled rows with COUNTS, a stratum and whether the document is good.
 
-    One aggregation; what comes to the driver is a row a stratum, of two counts for
-    each rule and cutoff.
+    Each row is put at the number of cutoffs it reaches, for each rule, and these are
+    counted by stratum; what comes to the driver is at most ``max_strata`` x the
+    cutoffs of all rules.
     """
-    sums = []
+    known = measured.where(F.col(good).isNotNull()).withColumn("__stratum", F.col(stratum))
+    totals = known.groupBy("__stratum").agg(F.count_if(F.col(good)).alias("n_good"), F.count_if(~F.col(good)).alias("n_bad"))
+    strata = totals.orderBy(F.desc("n_good"), "__stratum").limit(max_strata).collect()
+    places = []
     for r in rules:
-        # How many cutoffs of the grid (which falls) the measure reaches: one number instead of a comparison a cutoff.
         grid = ", ".join(f"{c}D" for c in r.grid)
-        measured = measured.withColumn(f"__{r.name}", F.expr(f"size(filter(array({grid}), c -> {r.measure.format(q='')} >= c))"))
-        for kind, is_kind in (("good", F.col(good)), ("bad", ~F.col(good))):
-            sums += [F.count_if(is_kind & (F.col(f"__{r.name}") >= len(r.grid) - i)).alias(f"{kind}_{r.name}_{i}") for i in range(len(r.grid))]
-    totals = [F.count_if(F.col(good)).alias("n_good"), F.count_if(~F.col(good)).alias("n_bad")]
-    rows = measured.where(F.col(good).isNotNull()).groupBy(F.col(stratum).alias("stratum")).agg(*totals, *sums).orderBy(F.desc("n_good"), "stratum").limit(max_strata).collect()
+        places.append(F.struct(F.lit(r.name).alias("rule"), F.expr(f"size(filter(array({grid}), c -> {r.measure.format(q='')} >= c))").alias("reached")))
+    kept = known if len(strata) < max_strata else known.join(F.broadcast(totals.orderBy(F.desc("n_good"), "__stratum").limit(max_strata).select(F.col("__stratum").alias("__top"))), F.col("__stratum").eqNullSafe(F.col("__top")), "left_semi")
+    placed = kept.select("__stratum", good, F.inline(F.array(*places))).groupBy("__stratum", "rule", "reached").agg(F.count_if(F.col(good)).alias("good"), F.count_if(~F.col(good)).alias("bad"))
+    found = {(row["__stratum"], row["rule"], row["reached"]): (row["good"], row["bad"]) for row in placed.collect()}
     table = {}
-    for row in rows:
+    for row in strata:
         for r in rules:
-            good_, bad = ([row[f"{k}_{r.name}_{i}"] for i in range(len(r.grid))] for k in ("good", "bad"))
-            table[row["stratum"], r.name] = Tally(row["n_good"], row["n_bad"], good_, bad)
+            n = len(r.grid)
+            at = [found.get((row["__stratum"], r.name, k), (0, 0)) for k in range(n + 1)]
+            # The i-th cutoff rejects what reaches at least n - i of them.
+            sums = [tuple(map(sum, zip(*at[n - i :], strict=True))) for i in range(n)]
+            table[row["__stratum"], r.name] = Tally(row["n_good"], row["n_bad"], [g for g, _ in sums], [b for _, b in sums])
     return choose(table, rules, risk, delta)
 
 
