@@ -6,12 +6,13 @@ Each command plans one job over all files and writes one TSV folder.
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema as S
-from .operators import aneuploidy, bins, gc, motifs, overlap, peaks, reads, sizes, spectrum, sweep, tiles
+from .operators import aneuploidy, bins, gc, models, motifs, overlap, peaks, reads, sizes, spectrum, sweep, tiles
 from .sources import bam, fasta, gff, sam, sinks, tsv
 
 TILE = 4096
@@ -59,6 +60,8 @@ def parser() -> argparse.ArgumentParser:
     add("nucs", number("chrom", None, str), number("start", None), number("end", None), (("-k",), {"type": int, "default": 120}), number("min-size", 120), number("max-size", 180), number("prominence", 5, float), number("distance", 147))
     add("fourier", (("--gff",), {"required": True}), (("-w", "--width"), {"type": int, "default": 10_000}), number("amplitude-min", 193, float), number("amplitude-max", 199, float))
     add("ff", (("--predictor",), {"required": True, "help": "a TSV of bin labels and coefficients; a row named intercept"}))
+    add("dnase1l3", (("--model",), {"required": True, "help": "JSON: mean, components, binary, regressor, classes"}), k)
+    add("embed", k)
     add("nipt", (("--panel",), {"required": True}), number("ff", 0.10, float), window, switch("gccorrect"), number("frac", 0.1, float))
     return top
 
@@ -133,6 +136,16 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if c == "fourier":
         genes = overlap.reconcile_contigs(gff.genes(spark, args.gff), spark.createDataFrame(contigs, "chrom string, length long"))
         return spectrum.gene_scores(signal(), overlap.gene_windows(genes, args.width), args.width, args.amplitude_min, args.amplitude_max)
+    if c in ("dnase1l3", "embed"):
+        if not args.reference:
+            raise SystemExit("cut-site motifs need --reference")
+        sites = motifs.cut_site(df, fasta.read(spark, args.reference, TILE), spark.createDataFrame(contigs, "chrom string, length long"), args.k, TILE, **keep)
+        if c == "dnase1l3":
+            with open(args.model) as f:
+                return models.genotype(models.vectors([(motifs.zero_filled(sites, df, args.k, how="rpx", per=args.x), "motif")]), json.load(f))
+        ends = motifs.five_prime(df, args.k, **keep)
+        rows = models.vectors([(sizes.zero_filled(df, 0, 1000, "freq", **keep), "size"), (motifs.zero_filled(sites, df, args.k, how="freq"), "motif"), (motifs.zero_filled(ends, df, args.k, False, how="freq"), "motif")])
+        return models.project(rows, models.fit_pca(rows)).drop("features")
     if c == "ff":
         table = spark.read.option("sep", "\t").schema("label string, coef double").csv(args.predictor)
         weights = table.withColumn("b", bins.parse_label("label")).where("b is not null").select("b.chrom", F.floor(F.col("b.bin_start") / 50_000).alias("bin"), "coef")

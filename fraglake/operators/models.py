@@ -82,3 +82,19 @@ def store_rows(projected: DataFrame, names: list[str], file_col: str = "sample_i
     named = projected.withColumn("__id", F.concat(stem, F.lit("_"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 8)))
     pairs = F.concat(F.zip_with(F.array(*map(F.lit, names)), "features", lambda n, x: F.struct(n.alias("feature_name"), x.alias("value"))), F.array(*(F.struct(F.lit(c).alias("feature_name"), F.col(c).alias("value")) for c in ("umap1", "umap2"))))
     return named.select(F.col("__id").alias("sample_id"), F.inline(pairs))
+
+
+def genotype(rows: DataFrame, spec: dict) -> DataFrame:
+    """sample_id, probability, label, label_probability, prediction from a coefficient table.
+
+    ``spec``: ``mean`` and ``components`` of a PCA; ``binary`` and ``regressor`` as
+    (weights, intercept) over the components; ``classes`` by label likewise.  Each
+    sample is scored by itself.
+    """
+    centred = F.zip_with("features", F.array(*map(F.lit, map(float, spec["mean"]))), lambda a, b: a - b)
+    moved = rows.withColumn("features", centred)
+    for i, component in enumerate(spec["components"]):
+        moved = linear(moved, component, 0.0, f"__pc{i}")
+    moved = moved.withColumn("features", F.array(*(F.col(f"__pc{i}") for i in range(len(spec["components"]))))).select("sample_id", "features")
+    scored = multinomial(moved, {k: tuple(v) for k, v in spec["classes"].items()}).withColumnRenamed("probability", "label_probability")
+    return linear(logistic(scored, *spec["binary"]), *spec["regressor"]).select("sample_id", "probability", "label", "label_probability", "prediction")

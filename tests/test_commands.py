@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from fraglake import __main__ as commands
@@ -21,12 +23,17 @@ def files(tmp_path_factory):
     (folder / "ff.tsv").write_text("intercept\t0.5\nchr1_0_50000\t2\n")
     cells = {f"chr1_{10_000 * i}_{10_000 * (i + 1)}": 0 for i in range(10)}
     (folder / "panel.tsv").write_text("s\t" + "\t".join(cells) + "\n" + "".join(f"p{j}\t" + "\t".join(str(900_000 + 1000 * ((i * j) % 7)) for i in range(10)) + "\n" for j in range(1, 5)))
+    spec = {"mean": [0.0] * 136, "components": [[1.0] * 136, [0.0] * 136], "binary": [[0.0, 1.0], 0.0], "regressor": [[0.5, 0.0], 1.0], "classes": {"a": [[0.0, 0.0], 0.0], "b": [[0.0, 0.0], 1.0], "c": [[0.0, 0.0], 0.0]}}
+    (folder / "model.json").write_text(json.dumps(spec))
+    write_sam(folder / "b.sam", reads[::3])
+    (folder / "list").write_text(f"{folder}/b.sam\n")
     return folder
 
 
 CASES = {
     "csm": ("-r", "{f}/r.fa", "--norm", "freq"), "csmbsz": ("-r", "{f}/r.fa", "--pp"), "5pends": ("--uselexsmallest",), "5pendsbsz": ("--useref", "-r", "{f}/r.fa"), "bincounts": ("-b", "10000", "--norm", "rpx"),
     "fszd": ("--norm", "freq", "--noname"), "delfi": ("-b", "10000"), "nucs": ("--prominence", "1", "--chrom", "chr1"), "fourier": ("--gff", "{f}/g.gtf"), "ff": ("--predictor", "{f}/ff.tsv"),
+    "dnase1l3": ("-r", "{f}/r.fa", "--model", "{f}/model.json"), "embed": ("-r", "{f}/r.fa", "--bamlist", "{f}/list"),
     "nipt": ("--panel", "{f}/panel.tsv", "-r", "{f}/r.fa", "-b", "10000"),
 }
 
@@ -39,5 +46,8 @@ def test_command_writes_a_table(spark, files, tmp_path, command):
     assert got.count() > 0
     if command == "ff":
         assert abs(float(got.first()["ff"]) - 2.5) < 1e-9
+    if command == "dnase1l3":
+        row = got.first()
+        assert row["label"] == "b" and float(row["probability"]) == 0.5 and abs(float(row["prediction"]) - 500_001) < 100
     if command == "bincounts":
         assert got.count() == 13
