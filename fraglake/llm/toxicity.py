@@ -93,18 +93,19 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return NEVER
     rows = [*positive, *unlabelled]
     n_pos, prior = len(positive), min(prior, 0.99)
-    used, column = np.unique(np.concatenate(rows), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    sizes = np.array([len(r) for r in rows])
+    column, split = np.concatenate(rows), int(sizes[:n_pos].sum())
     # Only features whose share among the positives stands out from the unlabelled by LEAST_Z standard errors.
     n_unl = len(rows) - n_pos
-    in_pos = np.bincount(column[owner < n_pos], minlength=len(used)) / n_pos
-    in_unl = np.bincount(column[owner >= n_pos], minlength=len(used)) / n_unl
+    in_pos = np.bincount(column[:split], minlength=1 << FEATURE_BITS) / n_pos
+    in_unl = np.bincount(column[split:], minlength=1 << FEATURE_BITS) / n_unl
     pooled = (in_pos * n_pos + in_unl * n_unl) / len(rows)
     error = np.sqrt(pooled * (1 - pooled) * (1 / n_pos + 1 / n_unl))
     keep = np.abs(in_pos - in_unl) > LEAST_Z * np.maximum(error, 1e-9)
-    renumber = np.cumsum(keep) - 1
-    mine = keep[column]
-    column, owner, used = renumber[column[mine]], owner[mine], used[keep]
+    used = np.flatnonzero(keep)
+    mine = np.flatnonzero(keep[column])
+    owner = np.searchsorted(np.cumsum(sizes), mine, side="right")
+    column = np.searchsorted(used, column[mine])
     w, bias = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, epochs + 1):
@@ -175,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     one = texts.join(F.broadcast(sample), "k").groupBy("y", "k").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
     rows = one.select("y", "k", _distinct_features("t").alias("f")).toArrow().sort_by([("y", "ascending"), ("k", "ascending")])
     lists = rows.column("f").combine_chunks()
-    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.int64)
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
     parts = np.split(values[ends[0] : ends[-1]], ends[1:-1] - ends[0]) if len(lists) else []
     by: dict[int, list[np.ndarray]] = {0: [], 1: []}
     for y, part in zip(rows.column("y").to_pylist(), parts, strict=True):
