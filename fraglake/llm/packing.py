@@ -19,6 +19,7 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -134,22 +135,32 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
         raise ValueError("lengths must be from 1 to the capacity")
     best = best_fit_decreasing(counts, capacity)
     best_bins, floor = sum(p.repeat for p in best), lower_bound(counts, capacity)
-    total, seen = sum(k * n for k, n in counts.items()), set()
-    stack: list[tuple[dict[int, int], list[Pattern], int, int]] = [(counts, [], 0, 0)]
+    total = sum(k * n for k, n in counts.items())
+    start = np.zeros(capacity + 1, dtype=np.int64)
+    start[list(counts)] = list(counts.values())
+    # A branch holds its counts as one array and its patterns as a chain, a state seen before is known by its digest: little memory a branch.
+    seen: set[bytes] = set()
+    stack: list[tuple[np.ndarray, tuple | None, int, int]] = [(start, None, 0, 0)]
     while stack and best_bins > floor and nodes:
-        left, done, bins, waste = stack.pop()
+        state, chain, bins, waste = stack.pop()
         nodes -= 1
         if waste > (best_bins - 1) * capacity - total:  # any end of this branch has as many bins as the best
             continue
-        if not left:
+        lengths = np.flatnonzero(state)
+        if not len(lengths):
             if bins < best_bins:
-                best, best_bins = done, bins
+                best, best_bins = [], bins
+                while chain is not None:
+                    pattern, chain = chain
+                    best.append(pattern)
+                best.reverse()
             continue
-        if (state := (bins, tuple(sorted(left.items())))) in seen:
+        digest = hashlib.blake2b(state.tobytes() + bins.to_bytes(8, "little"), digest_size=16).digest()
+        if digest in seen:
             continue
-        if len(seen) < 100_000:
-            seen.add(state)
-        largest = max(left)
+        seen.add(digest)
+        left = dict(zip(lengths.tolist(), state[lengths].tolist(), strict=True))
+        largest = int(lengths[-1])
         rest = {**left, largest: left[largest] - 1}
         branches = []
         for filling in fillings(rest, capacity - largest):
@@ -158,10 +169,13 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
             most = min(left[x] // n for x, n in items.items())
             for repeat in dict.fromkeys((most, 1)):
                 pattern = Pattern(tuple(sorted(items.items(), reverse=True)), repeat)
-                after = {x: n - items.get(x, 0) * repeat for x, n in left.items()}
-                branches.append(({x: n for x, n in after.items() if n}, [*done, pattern], bins + repeat, waste + (capacity - pattern.used) * repeat, repeat == 1 and most > 1))
-        branches.sort(key=lambda b: b[4])  # as often as possible comes first, in order of waste
-        stack += [b[:4] for b in reversed(branches)]
+                branches.append((pattern, repeat == 1 and most > 1))
+        branches.sort(key=lambda b: b[1])  # as often as possible comes first, in order of waste
+        for pattern, _ in reversed(branches):
+            after = state.copy()
+            for x, n in pattern.items:
+                after[x] -= n * pattern.repeat
+            stack.append((after, (pattern, chain), bins + pattern.repeat, waste + (capacity - pattern.used) * pattern.repeat))
     return best
 
 
