@@ -40,3 +40,14 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Texts in an Arrow batch; Spark's own setting of 10,000 is meant for rows of numbers.
+BATCH_ROWS = 1000
+
+
+def use_small_batches(spark: SparkSession) -> None:
+    """Bound what goes to Python at a time, unless the session is set lower already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
