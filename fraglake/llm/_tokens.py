@@ -8,6 +8,7 @@ whole text.  Pieces that aren't remembered go to the library in one call a batch
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that each of the two generations of the cache holds.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 500_000
 #: Longer pieces are encoded each time.
 CACHE_CHARS = 40
 
@@ -41,6 +42,7 @@ class PieceEncoder:
     """Encodes texts piece by piece; ``ids`` are little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Python worker has one core; the library's threads would only spin
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)

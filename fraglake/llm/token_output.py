@@ -32,12 +32,14 @@ from . import _store, _tokens
 #: Ids in a shard; a longer document is a shard by itself.
 SHARD_TOKENS = 1 << 20
 #: Rounds of replacement, each of all pairs found frequent in that round.
-MAX_ROUNDS = 6
+MAX_ROUNDS = 12
 #: A pair that occurs less often gets no rule.
 MIN_COUNT = 4
 #: A round takes the pairs that occur at least so many times less often than its most frequent one.
-STEP = 16
+STEP = 64
 _SLOTS = 1 << 18
+#: A round that takes away a smaller share of the symbols is the last.
+LEAST_GAIN = 0.005
 BROADCAST_SHARDS = 1_000_000
 _MAGIC = b"RPSHARD1"
 
@@ -60,6 +62,7 @@ def compress(ids: np.ndarray, first_symbol: int, max_rounds: int = MAX_ROUNDS, m
 
     A round takes the pairs that occur at least 1 / ``STEP`` as often as the most
     frequent one.  Where chosen pairs overlap, the more frequent one is replaced.
+    It ends when no pair is frequent any more, or a round gains next to nothing.
     """
     seq, rules, symbol = ids.astype(np.uint32), [np.zeros((0, 2), dtype=np.uint32)], first_symbol
     for _ in range(max_rounds):
@@ -94,7 +97,10 @@ def compress(ids: np.ndarray, first_symbol: int, max_rounds: int = MAX_ROUNDS, m
         seq[place] = (symbol + number[at[place]]).astype(np.uint32)
         keep = np.ones(len(seq), dtype=bool)
         keep[place + 1] = False
+        before = len(seq)
         seq, symbol = seq[keep], symbol + len(used)
+        if before - len(seq) < LEAST_GAIN * before:
+            break
     return np.concatenate(rules), seq
 
 
