@@ -34,6 +34,8 @@ SHARDS = 40
 SEED = 20_260
 #: Bytes of records in a bucket, on average.
 BUCKET_BYTES = 4 << 20
+#: Bucket starts, of 24 bytes each, that may be broadcast.
+BROADCAST_BUCKETS = 1_000_000
 
 
 def scatter(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", n_buckets: int, seed: int = SEED) -> DataFrame:
@@ -64,11 +66,15 @@ def external_shuffle(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
     shuffle_buckets(scattered, columns, seed).write.option("compression", "zstd").parquet(path)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     written = spark.read.schema(", ".join(["bucket int", "place int", *(f"`{c}` {kinds[c]}" for c in columns)])).parquet(path)
-    return cut_shards(written, n_shards).select(*(F.col(f"`{c}`") for c in columns), "shard", "slot")
+    return cut_shards(written, n_shards, n_buckets).select(*(F.col(f"`{c}`") for c in columns), "shard", "slot")
 
 
-def cut_shards(written: DataFrame, n_shards: int = SHARDS) -> DataFrame:
-    """Shard and slot from bucket and place; counts of the shards differ by one at most."""
+def cut_shards(written: DataFrame, n_shards: int = SHARDS, n_buckets: int | None = None) -> DataFrame:
+    """Shard and slot from bucket and place; counts of the shards differ by one at most.
+
+    Where ``n_buckets`` says that the buckets' starts are few, they are broadcast,
+    so that the records aren't shuffled once more.
+    """
     counts = written.groupBy("bucket").agg(F.count("*").alias("n"))  # a row a bucket
     running = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     starts = counts.select("bucket", (F.sum("n").over(running) - F.col("n")).alias("before"), F.sum("n").over(W.partitionBy()).alias("total"))
@@ -78,4 +84,6 @@ def cut_shards(written: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     big = extra * (small + 1)
     shard = F.when(at < big, F.floor(at / (small + 1))).otherwise(extra + F.floor((at - big) / F.greatest(small, F.lit(1))))
     start = F.when(at < big, F.col("shard") * (small + 1)).otherwise(big + (F.col("shard") - extra) * small)
+    if n_buckets is not None and n_buckets <= BROADCAST_BUCKETS:
+        starts = F.broadcast(starts)
     return written.join(starts, "bucket").withColumn("shard", shard.cast("int")).withColumn("slot", (at - start).cast("long"))
