@@ -123,7 +123,8 @@ def fuzzy(words: Words, notices: tuple[Notice, ...]) -> dict[int, list[tuple[str
     """By text: (label, first word, last word, errors, similarity) for each verified notice."""
     hay, found = words.joined, {}
     for notice in notices:
-        size, slack, done = len(notice.text), notice.errors, -1
+        size, slack = len(notice.text), notice.errors
+        done = -size - slack  # below any place where a candidate could begin
         # Where the notice could begin at the earliest, and the fragment that says so.
         candidates = sorted({(at - offset - slack, at) for offset, part in notice.fragments() for at in _all(hay, part)})
         for lo, at in candidates:

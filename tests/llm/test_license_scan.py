@@ -53,6 +53,22 @@ def test_edits_within_the_bound_are_always_found():
             assert notice.label in found["labels"].split(","), "".join(text)
 
 
+@pytest.mark.parametrize("notice", license_scan.NOTICES, ids=lambda n: n.text)
+def test_notices_are_found_at_every_place_of_a_batch(notice):
+    import pyarrow as pa
+
+    def spans(texts):
+        return [[(s["first_word"], s["errors"]) for s in g["spans"] if s["label"] == notice.label] for g in license_scan.scan(pa.array(texts))]
+
+    assert spans([notice.text]) == [[(0, 0)]]
+    for before in range(9):
+        assert spans(["x" * before + " " + notice.text + " and more"]) == [[(int(before > 0), 0)]]
+    for place in range(3):
+        texts = ["other"] * 3
+        texts[place] = notice.text
+        assert spans(texts) == [[(0, 0)] if k == place else [] for k in range(3)]
+
+
 def test_matches_stay_in_their_text():
     import pyarrow as pa
 
