@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
     # Unlabelled: a sample of all ids, whatever their labels, as the estimate of the risk asks for (one column is read for this).
     ids = docs.select(F.col(id_col).alias("k")).where(F.col("k").isNotNull() & ~held_out("k"))
-    unlabelled = ids.orderBy(F.xxhash64("k", F.lit(1)), "k").limit(max_unlabelled).distinct()
+    unlabelled = ids.distinct().orderBy(F.xxhash64("k", F.lit(1)), "k").limit(max_unlabelled)
     sample = positive.withColumn("y", F.lit(1)).union(unlabelled.withColumn("y", F.lit(0)))
     # At most max_positive + max_unlabelled ids are broadcast.
     # Of rows that share a sampled id, the one with the smallest text hash is taken.

@@ -96,3 +96,12 @@ def test_query(spark, sf):
 
     rows = op8_nnpu_toxicity(spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_repeated_ids_take_one_place_in_the_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(200) for _ in range(10)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda positive, unlabelled, prior: seen.append((len(positive), len(unlabelled))))
+    toxicity.train(docs, labels, max_positive=20, max_unlabelled=50)
+    assert seen == [(20, 50)]
