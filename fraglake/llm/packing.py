@@ -217,8 +217,8 @@ def cut(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", leng
         for batch in batches:
             ids = _tokens.encode_column(batch.column(1), vocabulary)
             rows, held = ([], [], [], [], [], []), 0
-            for key, raw in zip(batch.column(0).to_pylist(), ids, strict=True):
-                raw += end
+            for key, found in zip(batch.column(0).to_pylist(), ids, strict=True):
+                raw = found.astype("<u4", copy=False).tobytes() + end
                 n = len(raw) // 4
                 edges = [0, *range(n % length or length, n + 1, length)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):

@@ -223,18 +223,18 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, end = TaskContext.get().partitionId(), np.array([end_id], dtype="<u4").tobytes()
+        part, end = TaskContext.get().partitionId(), np.array([end_id], dtype=np.uint32)
         ids, keys, sizes, total, shard = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(ids), dtype="<u4")
+            flat = np.concatenate(ids)
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             payload = pack_shard(flat, starts, np.array([k or 0 for k in keys], dtype=np.int64), np.array([k is None for k in keys]), first_symbol)
             return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "n_docs": len(keys), "n_ids": len(flat), "payload": payload}], schema=schema)
 
         for batch in batches:
             for key, found in zip(batch.column(0).to_pylist(), _tokens.encode_column(batch.column(1), vocabulary), strict=True):
-                size = len(found) // 4 + 1
+                size = len(found) + 1
                 if keys and total + size > shard_tokens:
                     yield flush()
                     ids, keys, sizes, total, shard = [], [], [], 0, shard + 1

@@ -70,7 +70,7 @@ def check(rows, docs, length, end):
     encode = _tokens.encoder(_tokens.vocabulary_path())
     expected = Counter()
     for k, t in docs:
-        raw = encode._raw([t or ""])[0] + end.to_bytes(4, "little")
+        raw = encode._raw([t or ""])[0].tobytes() + end.to_bytes(4, "little")
         n = len(raw) // 4
         edges = [0, *range(n % length or length, n + 1, length)]
         for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):

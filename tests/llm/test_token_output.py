@@ -45,7 +45,7 @@ def test_files_hold_all_documents_in_order(spark):
     token_output.write(docs, path, shard_tokens=50)
     got = sorted(token_output.read(spark, path).collect(), key=lambda r: r["start"])
     encode = _tokens.encoder(_tokens.vocabulary_path())
-    expected = sorted(((k, encode._raw([t or ""])[0] + b"\0\0\0\0") for k, t in rows), key=lambda r: (r[0] is not None, r[0] or 0))
+    expected = sorted(((k, encode._raw([t or ""])[0].tobytes() + b"\0\0\0\0") for k, t in rows), key=lambda r: (r[0] is not None, r[0] or 0))
     assert [r["doc_id"] for r in got] == [k for k, _ in expected]
     assert sorted(bytes(r["ids"]) for r in got) == sorted(b for _, b in expected)
     at = 0
@@ -66,7 +66,7 @@ def test_query_against_brute_force(spark, sf):
     docs = sorted(map(tuple, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()))
     encode, at, expected = _tokens.encoder(_tokens.vocabulary_path()), 0, []
     for k, text in docs:
-        raw = encode._raw([text])[0] + b"\0\0\0\0"
+        raw = encode._raw([text])[0].tobytes() + b"\0\0\0\0"
         expected.append((k, at, len(raw) // 4, zlib.crc32(raw)))
         at += len(raw) // 4
     assert sorted(map(tuple, op1_repair_tokens(spark, sf).collect())) == expected
