@@ -31,77 +31,110 @@ from . import _store, _tokens
 
 #: Ids in a shard; a longer document is a shard by itself.
 SHARD_TOKENS = 1 << 20
-#: Rounds of replacement, each of all pairs found frequent in that round.
-MAX_ROUNDS = 12
-#: A pair that occurs less often gets no rule.
+#: A pair that occurs less often gets no rule: a rule takes three words, a place that it replaces gives one.
 MIN_COUNT = 4
-#: A round takes the pairs that occur at least so many times less often than its most frequent one.
-STEP = 64
-_SLOTS = 1 << 18
-#: A round that takes away a smaller share of the symbols is the last.
-LEAST_GAIN = 0.005
+#: A round takes the pairs that occur at least 1 / STEP as often as its most frequent one.
+STEP = 4
 BROADCAST_SHARDS = 1_000_000
 _MAGIC = b"RPSHARD1"
 
 
-def _frequent(seq: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray]:
-    """Adjacent pairs, as left << 32 | right, that occur at least ``floor`` times, and how often."""
-    keys = np.sort((seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:])
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    counts = np.diff(np.append(first, len(keys)))
-    keep = counts >= floor
-    return keys[first[keep]], counts[keep]
+def compress(ids: np.ndarray, first_symbol: int, min_count: int = MIN_COUNT, step: float = STEP) -> tuple[np.ndarray, np.ndarray]:
+    """Re-Pair: the rules (left, right; rule i defines symbol first_symbol + i) and the sequence left.
 
+    Frequent pairs are replaced together: a round takes those that occur at least
+    1 / ``step`` as often as the most frequent one, and where they overlap replaces the
+    more frequent one.  Where pairs are in each other's way, the most frequent one goes
+    alone.  It ends when no pair can be replaced ``min_count`` times.
 
-def _hash(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)).astype(np.int64)
-
-
-def compress(ids: np.ndarray, first_symbol: int, max_rounds: int = MAX_ROUNDS, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
-    """Re-Pair in rounds: the rules (left, right; rule i defines symbol first_symbol + i) and the sequence left.
-
-    A round takes the pairs that occur at least 1 / ``STEP`` as often as the most
-    frequent one.  Where chosen pairs overlap, the more frequent one is replaced.
-    It ends when no pair is frequent any more, or a round gains next to nothing.
+    The sequence is a linked list in arrays.  Pairs are first counted by a short hash,
+    which bounds their counts from above; the exact counts are taken of those that may
+    be frequent enough.  A pair that is rare stays rare, so its places are left alone
+    until a neighbour is replaced.
     """
-    seq, rules, symbol = ids.astype(np.uint32), [np.zeros((0, 2), dtype=np.uint32)], first_symbol
-    for _ in range(max_rounds):
-        if len(seq) < 2:
-            break
-        keys, counts = _frequent(seq, min_count)
-        if not len(keys):
-            break
-        chosen = counts >= max(min_count, int(counts.max()) // STEP)
-        keys, counts = keys[chosen], counts[chosen]
-        order = np.argsort(counts, kind="stable")  # of those that meet in a slot, the most frequent stays
-        slot_key, slot_count = np.zeros(_SLOTS, dtype=np.uint64), np.zeros(_SLOTS, dtype=np.int32)
-        slots = _hash(keys[order])
-        slot_key[slots], slot_count[slots] = keys[order], counts[order]
-
-        pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        at = _hash(pairs)
-        hit = np.flatnonzero(slot_key[at] == pairs)
-        weight = np.zeros(len(pairs) + 2, dtype=np.int32)
-        weight[hit + 1] = slot_count[at[hit]]
-        mine = weight[hit + 1]
-        place = hit[(mine > 0) & (mine >= weight[hit]) & (mine >= weight[hit + 2])]
-        run = np.concatenate([[True], np.diff(place) > 1])
-        begin = place[np.maximum.accumulate(np.where(run, np.arange(len(place)), 0))]
-        place = place[(place - begin) % 2 == 0]  # of neighbours in a run, every other one
-
-        taken = np.zeros(_SLOTS, dtype=bool)
-        taken[at[place]] = True
-        used = slot_key[taken]
-        rules.append(np.stack([used >> np.uint64(32), used & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        number = np.cumsum(taken, dtype=np.int64) - 1
-        seq[place] = (symbol + number[at[place]]).astype(np.uint32)
-        keep = np.ones(len(seq), dtype=bool)
-        keep[place + 1] = False
-        before = len(seq)
-        seq, symbol = seq[keep], symbol + len(used)
-        if before - len(seq) < LEAST_GAIN * before:
+    n, end = len(ids), np.uint32(0xFFFFFFFF)
+    seq = np.full(n + 2, end, dtype=np.uint32)  # with a stop on each side
+    seq[1:-1] = ids
+    following, before = np.arange(1, n + 3, dtype=np.int32), np.arange(-1, n + 1, dtype=np.int32)
+    alive = np.zeros(n + 2, dtype=bool)  # where a pair begins that may be frequent
+    alive[1:n] = True
+    weight = np.zeros(n + 2, dtype=np.int32)
+    pair = np.zeros(n + 2, dtype=np.uint64)  # left << 32 | right, by where it begins
+    pair[:-1] = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+    rules, symbol, rounds, ceiling, alone = [np.zeros((0, 2), dtype=np.uint32)], first_symbol, 0, n, False
+    at, floor = np.arange(1, n), n
+    while len(at) >= min_count:
+        rounds += 1
+        # A small table is quick, and bounds the counts well enough while only very frequent pairs are looked for.
+        bits = min(18 if floor > 32 else 20, max(10, len(at).bit_length()))
+        factor = np.uint64((0x9E3779B97F4A7C15 + rounds * 0xA24BAED4963EE406) % (1 << 64) | 1)  # another each round, so that pairs that met part
+        pairs = pair.take(at)
+        slot = ((pairs * factor) >> np.uint64(64 - bits)).view(np.int64)
+        most = np.bincount(slot, minlength=1 << bits)
+        top = int(most.max())
+        if top < min_count:
             break
-    return np.concatenate(rules), seq
+        floor = max(min_count, min(int(top / step), ceiling))
+        kind = ((most >= min_count).view(np.uint8) + (most >= floor).view(np.uint8)).take(slot, mode="clip")
+        alive[at.take(np.flatnonzero(kind == 0))] = False
+        some = np.flatnonzero(kind == 2)
+        pairs = pairs.take(some)
+        keys = np.sort(pairs)
+        starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+        counts = np.diff(starts, append=len(keys))
+        enough = np.flatnonzero(counts >= floor)
+        order = enough[np.argsort(counts[enough], kind="stable")]  # of those that meet in a slot, the most frequent stays
+        order = order[-1:] if alone else order
+        keys, counts = keys[starts[order]], counts[order].astype(np.int32)
+        number = np.full(1 << bits, -1, dtype=np.int32)
+        number[((keys * factor) >> np.uint64(64 - bits)).view(np.int64)] = np.arange(len(keys), dtype=np.int32)
+        mine = number.take(slot.take(some))
+        hit = np.flatnonzero(mine >= 0)
+        hit = hit[keys[mine[hit]] == pairs[hit]]
+        mine = mine[hit]
+        place, mine_weight = at[some[hit]], counts[mine]
+        second_at = following[place]
+        weight[place] = mine_weight
+        best = np.flatnonzero((mine_weight >= weight[before[place]]) & (mine_weight >= weight[second_at]))
+        weight[place] = 0
+        place, second_at, mine = place[best], second_at[best], mine[best]
+        run = np.concatenate([[True], place[1:] != second_at[:-1]])[: len(place)]
+        begin = np.maximum.accumulate(np.where(run, np.arange(len(place)), 0))
+        other = np.flatnonzero((np.arange(len(place)) - begin & 1) == 0)  # of neighbours in a run, every other one
+        place, second_at, mine = place[other], second_at[other], mine[other]
+        used = np.bincount(mine, minlength=len(keys)) >= min_count
+        chosen = np.flatnonzero(used[mine])
+        place, second_at, mine = place[chosen], second_at[chosen], mine[chosen]
+        if not len(place):
+            if floor == min_count and not len(keys):
+                break
+            if alone:
+                alive[at[some[hit]]] = False
+            alone = floor == min_count
+            ceiling = max(min_count, int(floor / step))
+            at = at[np.flatnonzero(alive[at])]
+            continue
+        alone = False
+        ceiling = n
+        rules.append(np.stack([keys[used] >> np.uint64(32), keys[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        seq[place] = (symbol + np.cumsum(used) - 1)[mine].astype(np.uint32)
+        symbol += len(rules[-1])
+        after = following[second_at]
+        following[place], before[after] = after, place
+        seq[second_at] = end
+        alive[second_at] = False
+        for changed in (place, before[place]):
+            alive[changed] = True
+            pair[changed] = seq[changed].astype(np.uint64) << np.uint64(32) | seq[following[changed]]
+        alive[0] = False
+        alive[place[after == n + 1]] = False
+        if 64 * len(at) > n:
+            at = np.flatnonzero(alive)
+        else:  # not worth a look at all places
+            at = np.unique(np.concatenate([at, before[place]]))
+            at = at[np.flatnonzero(alive[at])]
+    left = seq[1:-1]
+    return np.concatenate(rules), left[left != end]
 
 
 def expansion_lengths(rules: np.ndarray, first_symbol: int) -> np.ndarray:
@@ -201,7 +234,7 @@ class Shard:
         ends = np.cumsum(self._sizes(self.seq))
         lo, hi = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, start + count, side="left") + 1
         before = int(ends[lo - 1]) if lo else 0
-        return self._expand(self.seq[lo:hi])[start - before : start - before + count]
+        return expand(self.seq[lo:hi], self.rules, self.first_symbol)[start - before : start - before + count]
 
     def document(self, k: int) -> np.ndarray:
         """The ids of the shard's k-th document."""
@@ -270,13 +303,13 @@ def read(spark, path: str) -> DataFrame:
                 shard = Shard(payload.as_py())
                 raw, sizes = shard.ids().astype("<u4").tobytes(), np.diff(np.append(shard.doc_starts, shard.n_ids)).astype(np.int64)
                 first = shard.doc_starts.astype(np.int64)
+                ends = np.append(4 * first, len(raw))
+                if len(raw) < 1 << 31:  # documents follow one another: one buffer, no copies
+                    ids = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
+                else:
+                    ids = pa.array([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], type=pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(shard.doc_ids, mask=shard.null_ids),
-                        pa.array(base + first),
-                        pa.array(sizes),
-                        pa.array([raw[4 * a : 4 * (a + n)] for a, n in zip(first.tolist(), sizes.tolist(), strict=True)], type=pa.binary()),
-                    ],
+                    [pa.array(shard.doc_ids, mask=shard.null_ids), pa.array(base + first), pa.array(sizes), ids],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 

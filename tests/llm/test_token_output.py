@@ -1,4 +1,6 @@
+import heapq
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -31,6 +33,69 @@ def test_rules_are_used_and_lengths_add_up():
         assert len(token_output.expand(np.array([10 + i]), rules, 10)) == lengths[i]
 
 
+def stored_words_of_exact_grammar(ids, first, min_count=4):
+    """Re-Pair one pair at a time, the most frequent first: words for rules, lengths and the sequence."""
+    seq, n = [int(x) for x in ids], len(ids)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    places = defaultdict(set)
+    for i in range(n - 1):
+        places[seq[i], seq[i + 1]].add(i)
+    heap = [(-len(v), k) for k, v in places.items() if len(v) >= min_count]
+    heapq.heapify(heap)
+    rules, length = 0, n
+    while heap:
+        c, pair = heapq.heappop(heap)
+        have = len(places.get(pair, ()))
+        if have < min_count:
+            continue
+        if have != -c:
+            heapq.heappush(heap, (-have, pair))
+            continue
+        symbol, touched = first + rules, set()
+        rules += 1
+        for i in sorted(places.pop(pair)):
+            j = after[i]
+            if seq[i] != pair[0] or j >= n or seq[j] != pair[1]:
+                continue
+            p, q = before[i], after[j]
+            if p >= 0:
+                places[seq[p], seq[i]].discard(p)
+            if q < n:
+                places[seq[j], seq[q]].discard(j)
+                before[q] = i
+            seq[i], seq[j], after[i] = symbol, -1, q
+            length -= 1
+            if p >= 0:
+                places[seq[p], symbol].add(p)
+                touched.add((seq[p], symbol))
+            if q < n:
+                places[symbol, seq[q]].add(i)
+                touched.add((symbol, seq[q]))
+        for t in touched:
+            if len(places[t]) >= min_count:
+                heapq.heappush(heap, (-len(places[t]), t))
+    return 3 * rules + length
+
+
+def test_size_is_within_a_hundredth_of_exact_grammars(sf):
+    import pyarrow.parquet as pq
+
+    column = pq.read_table(f"{sf}/documents.parquet", columns=["text"])["text"].combine_chunks()
+    ids = np.concatenate(list(_tokens.encode_column(column, _tokens.vocabulary_path())))
+    rules, seq = token_output.compress(ids, 50257)
+    assert token_output.expand(seq, rules, 50257).tolist() == ids.tolist()
+    assert 3 * len(rules) + len(seq) <= 1.01 * stored_words_of_exact_grammar(ids, 50257)
+
+
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(3)
+    ids = rng.zipf(1.5, 20_000).clip(0, 400).astype(np.uint32)
+    _, seq = token_output.compress(ids, 500)
+    pairs, counts = np.unique((seq[:-1].astype(np.int64) << 32) | seq[1:], return_counts=True)
+    # What is left overlaps itself or others too often to be replaced four times.
+    assert counts.max() < 8 and (counts >= 4).sum() <= 0.001 * len(pairs) + 2
+
+
 def test_damage_is_noticed():
     payload = bytearray(token_output.pack_shard(np.arange(9, dtype=np.uint32), np.array([0]), np.array([1]), np.array([False]), 50))
     payload[-2] ^= 1
