@@ -8,9 +8,12 @@ counts of the buckets before, so a length that a third of all pieces have is
 dealt with by many tasks.
 
 Bin completion: around the largest piece left, enumerate the fillings that no
-other filling dominates, least waste first; give up a branch whose waste, added
-up, shows that it can't beat the best packing known, which best-fit decreasing
-provides first.
+other filling dominates, the first ones found by least waste; give up a branch whose
+waste, added up, shows that it can't beat the best packing known, which best-fit
+decreasing provides first.  All undominated fillings are enumerated, lazily, with all
+numbers of bins that they can be used for, so a search that comes to its end proves
+the number of bins least.  Its steps are bounded by ``max_steps``; beyond that the
+best packing found is returned, and :class:`Packing` says whether it is proven.
 
 Defined results: a null text is empty and has its end id alone; null or repeated
 document ids and repeated rows are packed like all others; an empty table gives
@@ -32,10 +35,10 @@ from pyspark.sql.window import Window as W
 
 from . import _store, _tokens
 
-#: Branches that the search visits before it returns the best packing found.
-NODES = 3000
-#: Fillings that are kept at a branch, and steps to look for them.
-FILLINGS, FILLING_STEPS = 3, 300
+#: Steps of the search (a piece length tried in a filling, or a branch) before it returns the best packing found.
+MAX_STEPS = 1_000_000
+#: Steps at a branch, and fillings without waste, after which those found so far are tried, least waste first.
+FIRST_STEPS, FIRST_FILLINGS = 300, 3
 
 
 @dataclass(frozen=True)
@@ -94,42 +97,69 @@ def _dominated(items: dict[int, int], waste: int, left: dict[int, int], lengths:
     return False
 
 
-def fillings(left: dict[int, int], room: int, keep: int = FILLINGS, steps: int = FILLING_STEPS) -> list[tuple[tuple[int, int], ...]]:
-    """Undominated fillings of ``room``, least waste first; the search stops when ``keep`` without waste are known or after ``steps``."""
+class Budget:
+    """Steps that may still be taken."""
+
+    def __init__(self, steps: int) -> None:
+        self.left = steps
+
+    @property
+    def spent(self) -> bool:
+        return self.left <= 0
+
+
+Filling = tuple[tuple[int, int], ...]
+
+
+def fillings(left: dict[int, int], room: int, budget: Budget) -> Iterator[tuple[Filling, int] | None]:
+    """All undominated fillings of ``room`` with their waste, larger pieces first; None at each step that gives none."""
     lengths = sorted(x for x, n in left.items() if n and x <= room)
-    found: dict[tuple[tuple[int, int], ...], int] = {}
-    budget = steps
 
-    def go(room: int, top: int, items: list[tuple[int, int]]) -> bool:
-        """True: stop."""
-        nonlocal budget
-        budget -= 1
+    def go(room: int, top: int, items: Filling) -> Iterator[tuple[Filling, int] | None]:
+        budget.left -= 1
+        yield None
         k = min(top, bisect_right(lengths, room))
         if not room or not k:
             if not _dominated(dict(items), room, left, lengths):
-                found[tuple(items)] = room
-            return budget <= 0 or sum(w == 0 for w in found.values()) >= keep
+                yield items, room
+            return
         for j in range(k - 1, -1, -1):
-            most = min(left[lengths[j]], room // lengths[j])
-            for n in range(most, 0, -1):
-                if go(room - n * lengths[j], j, [*items, (lengths[j], n)]):
-                    return True
-            if items and budget <= 0:
-                return True
-        return False
+            for n in range(min(left[lengths[j]], room // lengths[j]), 0, -1):
+                yield from go(room - n * lengths[j], j, (*items, (lengths[j], n)))
+                if budget.spent:
+                    return
+
+    yield from go(room, len(lengths), ())
+
+
+def _in_order(found: Iterator[tuple[Filling, int] | None]) -> Iterator[tuple[Filling, int]]:
+    """The first fillings by waste, then all others as they come."""
+    first: list[tuple[Filling, int]] = []
+    steps = whole = 0
+    for f in found:
+        if f is None:
+            steps += 1
+        else:
+            first.append(f)
+            whole += f[1] == 0
+        if first and (steps >= FIRST_STEPS or whole >= FIRST_FILLINGS):
+            break
+    yield from sorted(first, key=lambda f: (f[1], len(f[0])))
+    yield from (f for f in found if f is not None)
 
-    go(room, len(lengths), [])
-    return sorted(found, key=lambda f: (found[f], len(f)))[:keep] or [()]
 
+@dataclass(frozen=True)
+class Packing:
+    """Patterns, how many bins they are, the lower bound, and whether no packing has fewer bins."""
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[Pattern]:
-    """Few bins for pieces of the given lengths.
+    patterns: list[Pattern]
+    bins: int
+    bound: int
+    proven: bool
 
-    Each branch uses a filling as often as the counts allow, or once; the result
-    is proven least when it meets :func:`lower_bound`, or the search ends before
-    ``nodes`` branches; otherwise it is the best found, never worse than best-fit
-    decreasing.
-    """
+
+def bin_completion(counts: dict[int, int], capacity: int, max_steps: int = MAX_STEPS) -> Packing:
+    """As few bins as possible for pieces of the given lengths; never more than best-fit decreasing needs."""
     counts = {int(k): int(n) for k, n in counts.items() if n}
     if any(not 0 < k <= capacity for k in counts):
         raise ValueError("lengths must be from 1 to the capacity")
@@ -138,45 +168,55 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
     total = sum(k * n for k, n in counts.items())
     start = np.zeros(capacity + 1, dtype=np.int64)
     start[list(counts)] = list(counts.values())
-    # A branch holds its counts as one array and its patterns as a chain, a state seen before is known by its digest: little memory a branch.
-    seen: set[bytes] = set()
-    stack: list[tuple[np.ndarray, tuple | None, int, int]] = [(start, None, 0, 0)]
-    while stack and best_bins > floor and nodes:
-        state, chain, bins, waste = stack.pop()
-        nodes -= 1
-        if waste > (best_bins - 1) * capacity - total:  # any end of this branch has as many bins as the best
-            continue
+    budget = Budget(max_steps)
+    #: By digest of the counts left: the fewest bins that led there.
+    seen: dict[bytes, int] = {}
+
+    def branches(state: np.ndarray) -> Iterator[Pattern]:
         lengths = np.flatnonzero(state)
-        if not len(lengths):
-            if bins < best_bins:
-                best, best_bins = [], bins
-                while chain is not None:
-                    pattern, chain = chain
-                    best.append(pattern)
-                best.reverse()
-            continue
-        digest = hashlib.blake2b(state.tobytes() + bins.to_bytes(8, "little"), digest_size=16).digest()
-        if digest in seen:
-            continue
-        seen.add(digest)
         left = dict(zip(lengths.tolist(), state[lengths].tolist(), strict=True))
         largest = int(lengths[-1])
-        rest = {**left, largest: left[largest] - 1}
-        branches = []
-        for filling in fillings(rest, capacity - largest):
+        for filling, _ in _in_order(fillings({**left, largest: left[largest] - 1}, capacity - largest, budget)):
             items = dict(filling)
             items[largest] = items.get(largest, 0) + 1
-            most = min(left[x] // n for x, n in items.items())
-            for repeat in dict.fromkeys((most, 1)):
-                pattern = Pattern(tuple(sorted(items.items(), reverse=True)), repeat)
-                branches.append((pattern, repeat == 1 and most > 1))
-        branches.sort(key=lambda b: b[1])  # as often as possible comes first, in order of waste
-        for pattern, _ in reversed(branches):
-            after = state.copy()
-            for x, n in pattern.items:
-                after[x] -= n * pattern.repeat
-            stack.append((after, (pattern, chain), bins + pattern.repeat, waste + (capacity - pattern.used) * pattern.repeat))
-    return best
+            pieces = tuple(sorted(items.items(), reverse=True))
+            for repeat in range(min(left[x] // n for x, n in pieces), 0, -1):
+                yield Pattern(pieces, repeat)
+
+    # Depth first; the stack holds a branch's state, bins, what leads to it and what is left to try there.
+    stack: list[tuple[np.ndarray, int, Pattern | None, Iterator[Pattern]]] = []
+
+    def enter(state: np.ndarray, bins: int, pattern: Pattern | None) -> None:
+        nonlocal best, best_bins
+        budget.left -= 1
+        left = int(state @ sizes)
+        # Bins so far, and what the rest needs if nothing more is wasted.
+        if bins + -(-left // capacity) >= best_bins:
+            return
+        if not left:
+            best_bins = bins
+            best = [p for _, _, p, _ in stack if p is not None] + ([pattern] if pattern else [])
+            return
+        digest = hashlib.blake2b(state.tobytes(), digest_size=16).digest()
+        if seen.get(digest, bins + 1) <= bins:
+            return
+        seen[digest] = bins
+        stack.append((state, bins, pattern, branches(state)))
+
+    sizes = np.arange(capacity + 1)
+    if total:
+        enter(start, 0, None)
+    while stack and best_bins > floor and not budget.spent:
+        state, bins, _, rest = stack[-1]
+        pattern = next(rest, None)
+        if pattern is None:
+            stack.pop()
+            continue
+        after = state.copy()
+        for x, n in pattern.items:
+            after[x] -= n * pattern.repeat
+        enter(after, bins + pattern.repeat, pattern)
+    return Packing(best, best_bins, floor, best_bins == floor or not (stack or budget.spent))
 
 
 @dataclass(frozen=True)
@@ -241,7 +281,7 @@ def place(pieces: DataFrame, length: int = 1024) -> DataFrame:
     """``pieces`` with sequence_id and offset; they are read twice, so write them first.  Needs the columns length and row."""
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `length` rows
-    table = segments(bin_completion(counts, length))
+    table = segments(bin_completion(counts, length).patterns)
 
     @F.arrow_udf("struct<sequence_id: long, offset: long>")
     def where(size: pa.Array, rank: pa.Array) -> pa.Array:
