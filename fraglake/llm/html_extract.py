@@ -38,9 +38,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Elements by what they do to the tree: fixed values.
-RAW = frozenset(("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "title", "xmp", "noembed", "noframes"))
+RAW = frozenset(("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "xmp", "noembed", "noframes", "annotation", "annotation-xml"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math semantics mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded menclose mtable mtr mtd".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: An open element of the values ends where the key begins.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "thead": ("thead", "tbody"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
@@ -70,7 +70,8 @@ PLAIN = frozenset(("div", "p", "head", "list", "item", "table", "section", "othe
 FEATURES = ("bias", *(f"kind {k}" for k in (*KINDS, "other")), *(f"hint {h}" for h in HINTS), "no text", "short", "medium", "long", "linked", "half linked", "ends like a sentence")
 _NUMBER = {f: i for i, f in enumerate(FEATURES)}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_VALUE = re.compile(r"=\s*([\"'])")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+(?:-[a-z]+)*")
 _SENTENCE_END = tuple(".!?…。」”\"")
@@ -87,6 +88,66 @@ class Node:
     linked: int = 0
 
 
+class Tags:
+    """The markup of a page, in order, in time that is linear in its length.
+
+    A quote opens a value only where it follows an equals sign, and only if it is
+    closed somewhere; elsewhere it is a character like others.
+    """
+
+    def __init__(self, html: str) -> None:
+        self._html = html
+        self._absent: set[str] = set()  # what wasn't found once isn't found farther on
+
+    def _find(self, what: str, at: int) -> int:
+        if what in self._absent:
+            return -1
+        found = self._html.find(what, at)
+        if found < 0:
+            self._absent.add(what)
+        return found
+
+    def _end(self, at: int) -> int:
+        """Where the tag whose attributes begin at ``at`` ends, after its ``>``; -1: it doesn't."""
+        while True:
+            close = self._find(">", at)
+            if close < 0:
+                return -1
+            quoted = _VALUE.search(self._html, at, close)
+            if quoted is None:
+                return close + 1
+            end = self._find(quoted[1], quoted.end())
+            at = end + 1 if end >= 0 else quoted.end()
+
+    def after(self, tag: str, at: int) -> int:
+        """After the end tag of an element whose content isn't markup; the page's end where there is none."""
+        html = self._html
+        while (at := self._find("</", at)) >= 0:
+            if html[at + 2 : at + 2 + len(tag)].lower() == tag and html[at + 2 + len(tag) : at + 3 + len(tag)] in (">", "/", "", " ", "\t", "\n", "\r", "\f"):
+                close = self._find(">", at)
+                return close + 1 if close >= 0 else len(html)
+            at += 2
+        return len(html)
+
+    def next(self, at: int) -> tuple[int, int, str | None, str] | None:
+        """From ``at`` on: where the next markup begins and ends, its name in lower case (with / before it: an end tag; None: a comment or the like), its attributes."""
+        html = self._html
+        while (start := self._find("<", at)) >= 0:
+            at = start + 1
+            if html.startswith("!--", at):
+                end = self._find("-->", at + 3)
+                return start, end + 3 if end >= 0 else len(html), None, ""
+            if html[at : at + 1] in ("!", "?"):
+                end = self._find(">", at)
+                if end >= 0:
+                    return start, end + 1, None, ""
+                continue
+            name = _NAME.match(html, at)
+            if name is not None and (end := self._end(name.end())) >= 0:
+                return start, end, name[0].lower(), html[name.end() : end - 1]
+        return None
+
+
 @lru_cache(maxsize=4096)
 def _hints(attributes: str) -> frozenset[str]:
     found = set()
@@ -124,31 +185,31 @@ def parse(html: str) -> list[Node]:
         if links:
             node.linked += len(piece)
 
+    places: dict[str, list[int]] = {}  # where each tag is open, and where scopes are
+    scopes: list[int] = []
+
     def close(tags: tuple[str, ...] | frozenset[str], beyond: bool) -> None:
         nonlocal fresh
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k][0] in tags:
-                del open_[k:]
-                fresh = True
-                return
-            if not beyond and open_[k][0] in SCOPES:
-                return
+        k = max((places[t][-1] for t in tags if places.get(t)), default=0)
+        if not k or (not beyond and scopes and scopes[-1] > k):
+            return
+        while len(open_) > k:
+            gone, _ = open_.pop()
+            places[gone].pop()
+            if gone in SCOPES:
+                scopes.pop()
+        fresh = True
 
-    skip_to = None
-    for m in _TOKEN.finditer(html):
-        if skip_to is not None:
-            if m.start() < skip_to:
-                continue
-            skip_to = None
-        start, end = m.span()
+    tags = Tags(html)
+    while (found := tags.next(at)) is not None:
+        start, end, tag, attributes = found
         if start > at:
             text(html[at:start])
         at = end
-        name = m[2]
-        if name is None:
+        if tag is None:
             continue
-        tag = name.lower()
-        if m[1]:
+        if tag[0] == "/":
+            tag = tag[1:]
             if tag == "a":
                 links = max(0, links - 1)
             elif tag not in INLINE and tag not in VOID and tag not in ("html", "body"):
@@ -158,8 +219,8 @@ def parse(html: str) -> list[Node]:
             text(" ") if not fresh else None
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, end)
-            at = skip_to = stop.end() if stop else len(html)
+            if not (tag == "svg" and attributes.endswith("/")):
+                at = tags.after(tag, end)
             continue
         if tag in VOID:
             if tag == "hr":
@@ -169,7 +230,7 @@ def parse(html: str) -> list[Node]:
         if tag == "a":
             links += 1
             continue
-        if tag in INLINE or m[3].endswith("/"):
+        if tag in INLINE or attributes.endswith("/"):
             continue
         links = 0
         if tag in ENDS_P:
@@ -180,8 +241,11 @@ def parse(html: str) -> list[Node]:
             close(ENDS[tag], False)
         if tag in ("head", "html"):
             continue
-        nodes.append(Node(tag, open_[-1][1], _hints(m[3]) if m[3] else frozenset(), []))
+        nodes.append(Node(tag, open_[-1][1], _hints(attributes) if attributes else frozenset(), []))
         open_.append((tag, len(nodes) - 1))
+        places.setdefault(tag, []).append(len(open_) - 1)
+        if tag in SCOPES:
+            scopes.append(len(open_) - 1)
         fresh = True
     if at < len(html):
         text(html[at:])

@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import pytest
@@ -57,6 +58,53 @@ def test_what_stands_around_is_left_out(model, around):
     assert model.extract(around.format(ARTICLE)) == EXPECTED
 
 
+@pytest.mark.parametrize(
+    ("inner", "expected"),
+    [
+        ("<p title=it's>Hello world, this is text.</p><p>That's fine, isn't it?</p>", "Hello world, this is text.\n\nThat's fine, isn't it?"),
+        ('<p title="a > b">Quoted sign, and text.</p>', "Quoted sign, and text."),
+        ('<p title="never closed>Some words of text.</p>', "Some words of text."),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be a number.</p>", "Let x=2 be a number."),
+        ("<p>Before the picture.<svg class=i /> And after it.</p><p>More text follows.</p>", "Before the picture. And after it.\n\nMore text follows."),
+        ("<p>One <svg><text>drawn</text></svg>two and three.</p>", "One two and three."),
+        ("<p>If a < b then it is so.</p>", "If a < b then it is so."),
+    ],
+)
+def test_odd_markup_loses_no_text(model, inner, expected):
+    assert model.extract(f"<nav><a href=/>Home</a></nav><article><h1>Title</h1>{inner}</article>") == "Title\n\n" + expected
+
+
+@pytest.mark.parametrize("html", ["<a '" * 250_000, "<a x='" * 170_000, '<a x=">' * 150_000, "<svg>" * 200_000, "<div>" * 100_000 + "</foo>" * 80_000, "<p><select>" + "<foo>" * 90_000 + "<hr>" * 90_000, "<!--" * 250_000, "</" * 500_000, "<" * 1_000_000])
+def test_a_megabyte_of_malformed_markup_takes_seconds(model, html):
+    began = time.perf_counter()
+    model.extract(html)
+    assert time.perf_counter() - began < 20
+
+
+# Pages as common publishing systems write them, by hand: another source than the trainer's layouts.
+HELD_OUT = [
+    (
+        """<!doctype html><html lang=en><head><title>Blog</title></head><body class="home blog"><div id="page" class="site"><header id="masthead" class="site-header"><p class="site-title"><a href="/">A Blog</a></p><nav id="site-navigation" class="main-navigation"><ul><li><a href="/about">About</a></li><li><a href="/contact">Contact</a></li></ul></nav></header>
+        <main id="primary" class="site-main"><article id="post-12" class="post-12 post type-post hentry"><h1 class="entry-title">On keeping bees</h1><div class="entry-content"><p>Bees need water as much as flowers do.</p><p>Set out a shallow dish with stones, so that they can drink without drowning.</p><blockquote><p>A hive is a city.</p></blockquote></div></article></main>
+        <aside id="secondary" class="widget-area"><section class="widget widget_recent_entries"><h2>Recent posts</h2><ul><li><a href="/1">One</a></li><li><a href="/2">Two</a></li></ul></section></aside><div id="comments" class="comments-area"><h2>2 replies</h2><ol class="comment-list"><li class="comment"><p>Great advice, thank you so much.</p></li></ol></div><footer id="colophon" class="site-footer"><p>Proudly made by hand.</p></footer></div></body></html>""",
+        ["On keeping bees", "Bees need water as much as flowers do.", "Set out a shallow dish with stones, so that they can drink without drowning.", "A hive is a city."],
+    ),
+    (
+        """<html><body><div id="mw-navigation"><h2>Navigation menu</h2><ul class="menu"><li><a href=a>Read</a></li><li><a href=b>Edit</a></li></ul></div><div id="content" class="mw-body" role="main"><h1 id="firstHeading">Granite</h1><div id="bodyContent"><p><b>Granite</b> is a <a href=c>coarse-grained</a> rock composed mostly of quartz.</p><p>It forms from magma that cools slowly underground.</p><table class="wikitable"><tr><th>Mineral</th><td>Quartz</td></tr></table></div></div><div id="footer" role="contentinfo"><ul><li>This page was last edited in May.</li></ul></div></body></html>""",
+        ["Granite", "Granite is a coarse-grained rock composed mostly of quartz.", "It forms from magma that cools slowly underground.", "Mineral", "Quartz"],
+    ),
+    (
+        """<body><div class="topbar"><a href=/>News</a> <a href=/w>World</a></div><div class="cookie-banner notice"><p>We value your privacy. Accept all?</p><button>OK</button></div><div class="story-wrapper"><div class="story"><h1>Bridge reopens after two years</h1><p>The old bridge carried its first trains again on Monday.</p><div class="ad"><p>Advertisement. Buy now.</p></div><p>Engineers had replaced every one of its rivets.</p></div></div><div class="related"><h3>Read next</h3><p><a href=x>Another story about trains</a></p></div><div class="newsletter"><form><p>Sign up for our letter.</p><input></form></div></body>""",
+        ["Bridge reopens after two years", "The old bridge carried its first trains again on Monday.", "Engineers had replaced every one of its rivets."],
+    ),
+]
+
+
+@pytest.mark.parametrize(("html", "blocks"), HELD_OUT)
+def test_pages_of_another_source(model, html, blocks):
+    assert model.extract(html).split("\n\n") == blocks
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<!-- x", "<script>x", "<p", "<", "</p></div>", "<ul><li><table><td><p></ul>"])
 def test_broken_pages_have_no_text(model, html):
     assert model.extract(html).strip("<p ") == ""
