@@ -2,17 +2,21 @@
 
 ``materialize`` cuts lineage with a written Parquet table.  A lost executor then
 costs a re-read instead of a recomputation, and a result that is used twice is
-computed once.
+computed once.  ``cleanup`` removes what a session has written; call it when its
+results aren't read any more.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where ``spark.checkpoint.dir`` is unset and the master is local.
-LOCAL_FOLDER = "/tmp/checkpoints/fraglake"
+#: Used only where ``spark.checkpoint.dir`` is unset and the master is local; removed when the process ends.
+LOCAL_FOLDER = f"/tmp/checkpoints/fraglake-{uuid.uuid4().hex}"
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,8 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_FOLDER
 
 
+@atexit.register
+def _remove_local() -> None:
+    if any(p.startswith(LOCAL_FOLDER) for p in _written):
+        shutil.rmtree(LOCAL_FOLDER, ignore_errors=True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -38,6 +50,26 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stable(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written first if its rows come from a shuffle: a task that is repeated then reads the same rows in the same order."""
+    return materialize(df, name) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all that this process has written to the shared folder; tables read from there can't be read any more."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

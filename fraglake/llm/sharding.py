@@ -8,7 +8,12 @@ most (law ``rows``).
 
 A bucket is bounded by construction: the hash covers the record's id, its text and
 a seeded random number, so copies and repeated ids spread like all others.  The
-number of buckets is the table's counted bytes over ``bucket_bytes``.
+number of buckets is the counted bytes of whole records over ``bucket_bytes``, and at
+least a few for each shuffle partition.  Records that come from a shuffle are written
+first, so that a repeated task draws the same numbers for the same records.
+
+Where buckets begin is summed in two levels, groups of ``GROUP`` buckets and the groups,
+so no task takes them all.
 
 The records' order depends on the seed and on how the input's files are split;
 the shards' sizes don't depend on either.
@@ -16,57 +21,87 @@ the shards' sizes don't depend on either.
 Only DataFrame functions are used.
 
 Defined results: null ids and texts are records like others (a null text has no
-bytes); empty and very long texts and repeated rows are kept (a text over
+bytes); empty and very long texts and repeated rows are kept (a record over
 ``bucket_bytes`` makes its bucket larger by itself); an empty table gives no rows;
 fewer records than shards leave shards empty; extra columns are carried along, and
-``shard``, ``slot`` or others of the same names raise before anything is written.
+those named ``shard`` or ``slot`` come out as ``shard_input`` and ``slot_input`` (with
+more underscores before it where that is taken too).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from . import _store
 
 SHARDS = 40
 SEED = 20_260
-#: Bytes of records in a bucket, on average.
-BUCKET_BYTES = 4 << 20
+#: Bytes of records in a bucket, on average; at least so many buckets for each shuffle partition.
+BUCKET_BYTES, LEAST_BUCKETS = 64 << 20, 4
 #: Bucket starts, of 24 bytes each, that may be broadcast.
-BROADCAST_BUCKETS = 1_000_000
+BROADCAST_BUCKETS = 2_000_000
+GROUP = 4096
+
+
+def record_bytes(docs: DataFrame) -> Column:
+    """About how many bytes a record has, over all of its columns."""
+    total = F.lit(64).cast("long")
+    for f in docs.schema.fields:
+        column = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+        else:
+            total = total + F.lit(8)
+    return total
 
 
 def scatter(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", n_buckets: int, seed: int = SEED) -> DataFrame:
-    """Pass one: ``docs`` with ``bucket``, each bucket in one partition."""
-    spread = docs.withColumn("__salt", F.rand(seed))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text_col), "__salt"), F.lit(n_buckets)).cast("int")
-    return spread.withColumn("bucket", bucket)
+    """Pass one: bucket, salt and record (a struct of all columns)."""
+    record = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("record")
+    spread = docs.select(record, F.rand(seed).alias("salt"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text"))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "id", "text", "salt"), F.lit(n_buckets)).cast("int")
+    return spread.select(bucket.alias("bucket"), "salt", "record")
 
 
-def shuffle_buckets(scattered: DataFrame, columns: list[str], seed: int = SEED) -> DataFrame:
-    """Pass two: bucket, place (from 0, in a Fisher-Yates order of the bucket) and the records' columns."""
-    record = F.struct("__salt", *(F.col(f"`{c}`") for c in columns))
+def shuffle_buckets(scattered: DataFrame, seed: int = SEED) -> DataFrame:
+    """Pass two: bucket, place (from 0, in a Fisher-Yates order of the bucket) and record."""
     # Sorted by the salt first, so that the order in which blocks arrive doesn't matter.
-    ordered = F.array_sort(F.collect_list(record), lambda a, b: F.when(a["__salt"] < b["__salt"], -1).when(a["__salt"] > b["__salt"], 1).otherwise(0))
+    ordered = F.array_sort(F.collect_list(F.struct("salt", "record")), lambda a, b: F.when(a["salt"] < b["salt"], -1).when(a["salt"] > b["salt"], 1).otherwise(0))
     gathered = scattered.groupBy("bucket").agg(ordered.alias("records"))
-    placed = gathered.select("bucket", F.posexplode(F.shuffle("records", seed)).alias("place", "record"))
-    return placed.select("bucket", "place", *(F.col("record").getField(c).alias(c) for c in columns))
+    placed = gathered.select("bucket", F.posexplode(F.shuffle("records", seed)).alias("place", "drawn"))
+    return placed.select("bucket", "place", F.col("drawn.record").alias("record"))
 
 
 def external_shuffle(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", n_shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Write ``docs`` in random order to ``path`` and return them with shard and slot, read back from there."""
-    spark, columns = docs.sparkSession, docs.columns
-    if clash := {"shard", "slot", "bucket", "place", "__salt"} & {c.lower() for c in columns}:
-        raise ValueError(f"columns of the input have names of this operator's own: {sorted(clash)}")
-    size = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + F.lit(64)).alias("n")).first()["n"] or 0
-    n_buckets = max(1, -(-size // bucket_bytes))
-    scattered = scatter(docs, text_col=text_col, id_col=id_col, n_buckets=n_buckets, seed=seed)
-    shuffle_buckets(scattered, columns, seed).write.option("compression", "zstd").parquet(path)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    written = spark.read.schema(", ".join(["bucket int", "place int", *(f"`{c}` {kinds[c]}" for c in columns)])).parquet(path)
-    return cut_shards(written, n_shards, n_buckets).select(*(F.col(f"`{c}`") for c in columns), "shard", "slot")
+    docs = _store.stable(docs, "to-shuffle")
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(record_bytes(docs)).alias("n")).first()["n"] or 0
+    n_buckets = max(-(-size // bucket_bytes), LEAST_BUCKETS * _store.shuffle_partitions(spark))
+    shuffled = shuffle_buckets(scatter(docs, text_col=text_col, id_col=id_col, n_buckets=n_buckets, seed=seed), seed)
+    shuffled.write.option("compression", "zstd").parquet(path)
+    written = spark.read.schema(shuffled.schema).parquet(path)
+    columns = []
+    for c in docs.columns:
+        name = _store.free_name(docs, f"{c}_input") if c.lower() in ("shard", "slot") else c
+        columns.append(F.col("record").getField(c).alias(name))
+    return cut_shards(written, n_shards, n_buckets).select(*columns, "shard", "slot")
+
+
+def bucket_starts(counts: DataFrame) -> DataFrame:
+    """bucket, before (records in the buckets before it) and total, from bucket and n."""
+    grouped = counts.withColumn("group", F.floor(F.col("bucket") / F.lit(GROUP)))
+    inside = W.partitionBy("group").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
+    local = grouped.select("bucket", "group", (F.sum("n").over(inside) - F.col("n")).alias("local"))
+    totals = grouped.groupBy("group").agg(F.sum("n").alias("n"))  # a row for GROUP buckets
+    running = W.orderBy("group").rowsBetween(W.unboundedPreceding, 0)
+    groups = totals.select("group", (F.sum("n").over(running) - F.col("n")).alias("earlier"), F.sum("n").over(W.partitionBy()).alias("total"))
+    return local.join(groups, "group").select("bucket", (F.col("earlier") + F.col("local")).alias("before"), "total")
 
 
 def cut_shards(written: DataFrame, n_shards: int = SHARDS, n_buckets: int | None = None) -> DataFrame:
@@ -75,9 +110,7 @@ def cut_shards(written: DataFrame, n_shards: int = SHARDS, n_buckets: int | None
     Where ``n_buckets`` says that the buckets' starts are few, they are broadcast,
     so that the records aren't shuffled once more.
     """
-    counts = written.groupBy("bucket").agg(F.count("*").alias("n"))  # a row a bucket
-    running = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    starts = counts.select("bucket", (F.sum("n").over(running) - F.col("n")).alias("before"), F.sum("n").over(W.partitionBy()).alias("total"))
+    starts = bucket_starts(written.groupBy("bucket").agg(F.count("*").alias("n")))
     at = F.col("before") + F.col("place")
     # The first total % n shards have a row more.
     small, extra = F.floor(F.col("total") / F.lit(n_shards)), F.col("total") % F.lit(n_shards)

@@ -48,9 +48,31 @@ def test_hot_ids_spread_over_buckets(spark):
     assert len(sizes) == 10 and max(sizes) < 450
 
 
-def test_clashing_names_raise(spark):
-    with pytest.raises(ValueError, match="shard"):
-        sharding.external_shuffle(spark.createDataFrame([(1, "t", 0)], "doc_id long, text string, shard int"), "unused")
+def test_clashing_names_are_kept_under_others(spark):
+    rows = [(i, f"t{i}", i, i, i, i, i) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, slot int, bucket int, place int, slot_input int")
+    got = sharding.external_shuffle(docs, _store.fresh_path(spark, "test"))
+    assert got.columns == ["doc_id", "text", "shard_input", "_slot_input", "bucket", "place", "slot_input", "shard", "slot"]
+    assert sorted(tuple(r)[:7] for r in got.collect()) == rows
+    check(got.collect(), 50, 40)
+
+
+def test_shuffled_input_and_wide_records(spark):
+    docs = spark.range(300).selectExpr("id as doc_id", "repeat('t', 20) as text", "array(id, id) as list", "repeat('w', 2000) as wide").repartition(3)
+    got = sharding.external_shuffle(docs, _store.fresh_path(spark, "test"), bucket_bytes=20_000).collect()
+    check(got, 300, 40)
+    assert docs.agg({"doc_id": "sum"}).first()[0] == sum(r["doc_id"] for r in got)
+    assert spark.createDataFrame([(1, "x" * 5000, [1])], "doc_id long, text string, list array<int>").select(sharding.record_bytes(spark.createDataFrame([], "doc_id long, text string, list array<int>")).alias("n")).first()["n"] > 5000
+
+
+def test_starts_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "GROUP", 8)
+    counts = spark.createDataFrame([(b, b % 5 + 1) for b in range(3, 60, 2)], "bucket int, n long")
+    before, expected = 0, []
+    for b in range(3, 60, 2):
+        expected.append((b, before, sum(x % 5 + 1 for x in range(3, 60, 2))))
+        before += b % 5 + 1
+    assert sorted(map(tuple, sharding.bucket_starts(counts).collect())) == expected
 
 
 def test_query(spark, sf):
