@@ -2,8 +2,8 @@
 
 Listed canonical URLs are rules: a host (which stands for its subdomains too) and
 the beginning of a path, with a verdict.  A URL is looked up under each of its host's
-suffixes with each beginning of its path that is as long as some listed path.  The
-keys go through a blocked Bloom filter: a key's hash picks one block of 256 bits and
+suffixes of as many labels as some listed host has, with each beginning of its path that
+is as long as some listed path.  The keys go through a blocked Bloom filter: a key's hash picks one block of 256 bits and
 one bit in each of its four words, so a test reads one block.  Keys that pass are
 possible hits; an exact hash join with the list removes the false ones, and the
 longest rule that is left decides.
@@ -31,8 +31,8 @@ WORDS = 4
 KEYS_PER_BLOCK = 16  # 16 bits a key
 LITERAL_BLOCKS = 512
 BROADCAST_BYTES = 32 << 20
-#: Distinct path lengths in a list, each of which is tried; a URL has hardly more than 2000 characters.
-MAX_LENGTHS = 4096
+#: Distinct path lengths or numbers of host labels in a list that are named in the plan; with more, all from the least to the greatest are tried.
+MAX_NAMED = 4096
 
 
 def host_of(url: Column) -> Column:
@@ -75,13 +75,23 @@ def canonical(rules: DataFrame) -> DataFrame:
     return one.withColumns({"rule": F.concat("host", "path"), "size": F.char_length("host") + F.char_length("path"), "h": F.xxhash64("host", "path")})
 
 
+def _labels(host: str) -> Column:
+    """How many labels a host has."""
+    return F.char_length(host) - F.char_length(F.replace(F.col(host), F.lit("."))) + 1
+
+
+def _fitting(numbers: list[int], most: Column) -> Column:
+    """Those of ``numbers`` up to ``most``, as an array."""
+    if len(numbers) <= MAX_NAMED:
+        return F.filter(F.array(*map(F.lit, sorted(numbers))), lambda n: n <= most)
+    low = F.lit(min(numbers))
+    return F.when(most >= low, F.sequence(low, F.least(most, F.lit(max(numbers))))).otherwise(F.array().cast("array<int>"))
+
+
 def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """One row a page: page_id, host, path, rule (null if none) and verdict."""
     listed = canonical(rules)
-    facts = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("rule")), F.lit(0)).alias("bytes"), F.collect_set(F.char_length("path")).alias("lengths")).first()
-    lengths = sorted(facts["lengths"])
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError(f"the list has over {MAX_LENGTHS} different path lengths")
+    facts = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("rule")), F.lit(0)).alias("bytes"), F.collect_set(F.char_length("path")).alias("lengths"), F.collect_set(_labels("host")).alias("labels")).first()
     parts = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     if not facts["n"]:
         return parts.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
@@ -89,9 +99,8 @@ def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_co
     small = facts["n"] * 64 + facts["bytes"] <= BROADCAST_BYTES
     filter_ = build_filter(listed, n_blocks)
 
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    starts = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.char_length("path"))
+    suffixes = F.transform(_fitting(facts["labels"], _labels("host")), lambda k: F.call_function("substring_index", "host", F.lit("."), -k))
+    starts = _fitting(facts["lengths"], F.char_length("path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda n: F.struct(s.alias("host"), F.substring("path", 1, n).alias("path"), F.xxhash64(s, F.substring("path", 1, n)).alias("h")))))
 
     if n_blocks <= LITERAL_BLOCKS:

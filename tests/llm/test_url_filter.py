@@ -56,6 +56,16 @@ def test_no_false_negatives_and_few_false_hits(spark):
     assert passing(other) < 200
 
 
+def test_many_path_lengths_and_long_hosts(spark, monkeypatch):
+    urls = [*URLS, "http://" + "a." * 3000 + "net/es/", "http://" + "a" * 5000 + "/" + "b" * 5000, "http://.com/", "http://./", "http://a..com/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    expected = [(i, *judge(u)) for i, u in enumerate(urls)]
+    assert sorted(map(tuple, url_filter.judge(pages, rules).collect())) == expected
+    monkeypatch.setattr(url_filter, "MAX_NAMED", 1)
+    assert sorted(map(tuple, url_filter.judge(pages, rules).collect())) == expected
+
+
 @pytest.mark.parametrize("what", ["pages", "rules"])
 def test_empty_tables(spark, what):
     pages = spark.createDataFrame([] if what == "pages" else [(1, "http://com/")], "page_id long, url string")
