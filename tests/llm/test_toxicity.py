@@ -91,11 +91,58 @@ def test_nothing_to_learn_from(spark):
         assert {r["score"] for r in toxicity.scores(docs, model).collect()} == {0.0}
 
 
-def test_query(spark, sf):
+def score_by_hand(model, text):
+    """The score of one text, word by word, with Python's own integers."""
+
+    def feature(piece, factor=1):
+        total = 0
+        for i, b in enumerate(piece):
+            total += int(_text._TABLE[b]) * pow(_text._BASE, i, 1 << 64)
+        h = total % (1 << 64)
+        h ^= h >> 31
+        h = h * 0xBF58476D1CE4E5B9 % (1 << 64)
+        h ^= h >> 29
+        return (h * factor % (1 << 64)) >> (64 - toxicity.FEATURE_BITS)
+
+    found = set()
+    for word in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower()):
+        found.add(feature(word))
+        found |= {feature(word[:n], 2 * n + 1) for n in toxicity.STEMS if len(word) >= n}
+    z = model.bias + sum(float(model.weights[f]) for f in found)
+    return 1 / (1 + np.exp(-z)) if z > -700 else 0.0
+
+
+def test_query_against_brute_force(spark, sf, monkeypatch):
+    from fraglake.llm import queries
+
+    kept = []
+    real = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda *a, **k: kept.append(real(*a, **k)) or kept[-1])
+    rows = {r["doc_id"]: r for r in queries.op8_nnpu_toxicity(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(rows) == len(docs) and kept[0].weights.any()
+    for d in docs:
+        r = rows[d["doc_id"]]
+        assert r["score"] == pytest.approx(score_by_hand(kept[0], d["text"]), abs=1e-6)
+        assert r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(d["doc_id"]).encode()) % 5 == 0)
+
+
+def test_held_out_labels_of_the_tables(spark):
     from fraglake.llm.queries import op8_nnpu_toxicity
 
-    rows = op8_nnpu_toxicity(spark, sf).collect()
-    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    sf = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["toxic"] is not None}
+    out = [(r["predicted"], truth[r["doc_id"]]) for r in op8_nnpu_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in truth]
+    assert len(out) > 50 and np.mean([p == y for p, y in out]) > 0.95
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "x" * 100) for k in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(100)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda positive, unlabelled, prior: seen.append((len(positive), len(unlabelled))))
+    toxicity.train(docs, labels, max_bytes=950)
+    assert seen == [(10, 10)]
 
 
 def test_repeated_ids_take_one_place_in_the_sample(spark, monkeypatch):
