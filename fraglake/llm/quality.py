@@ -11,7 +11,8 @@ cutoffs are tested from the mildest on and the search stops at the first that
 isn't refused (fixed-sequence testing), which needs no further share.  With
 probability 1 - delta, the rules then reject, in every stratum, at most ``risk`` of
 good documents like the labelled ones.  A stratum with too few labels gets no
-cutoff, so it rejects nothing.
+cutoff, so it rejects nothing; with 4 strata and the settings below that takes at least
+1232 labelled good documents (:func:`least_good`).
 
 The counts cover every labelled row of every document, held out by nature: nothing
 else is fitted on them.
@@ -48,8 +49,8 @@ DELTA = 0.05
 GOOD_COSTS = 5.0
 #: Strata by this column; each needs enough labels of its own.
 STRATUM = "lang"
-#: At most so many strata, those with the most labelled rows, get cutoffs; the others have none and reject nothing.
-MAX_STRATA = 1000
+#: Strata with cutoffs, of about 200 bytes each, that may be broadcast; beyond that rows and cutoffs are joined by shuffling, each stratum dealt into SALTS parts.
+BROADCAST_STRATA, SALTS = 100_000, 64
 
 _CLASS_SYMBOL = np.zeros(256, dtype=bool)
 _CLASS_SYMBOL[[ord(c) for c in SYMBOLS]] = True
@@ -204,59 +205,83 @@ def choose(table: dict[tuple[object, str], Tally], rules: tuple[Rule, ...] = RUL
     return chosen
 
 
-def learn(measured: DataFrame, *, stratum: str = STRATUM, good: str = "good", rules: tuple[Rule, ...] = RULES, risk: float = RISK, delta: float = DELTA, max_strata: int = MAX_STRATA) -> dict[object, dict[str, float]]:
-    """Cutoffs from labelled rows with COUNTS, a stratum and whether the document is good.
+def least_good(strata: int, rules: tuple[Rule, ...] = RULES, risk: float = RISK, delta: float = DELTA) -> int:
+    """How many labelled good documents a stratum needs for any cutoff."""
+    return math.ceil(math.log(delta / (strata * len(rules))) / math.log1p(-risk / len(rules)))
+
+
+def learn(measured: DataFrame, *, stratum: str = STRATUM, good: str = "good", rules: tuple[Rule, ...] = RULES, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """Cutoffs from labelled rows with COUNTS, a stratum and whether the document is good: stratum and a column a rule (null: none).
 
     Each row is put at the number of cutoffs it reaches, for each rule, and these are
-    counted by stratum; what comes to the driver is at most ``max_strata`` x the
-    cutoffs of all rules.
+    counted by stratum.  A stratum's choice is then a group of at most as many rows as
+    the rules have cutoffs.  Strata without any cutoff have no row.
     """
-    known = measured.where(F.col(good).isNotNull()).withColumn("__stratum", F.col(stratum))
-    totals = known.groupBy("__stratum").agg(F.count_if(F.col(good)).alias("n_good"), F.count_if(~F.col(good)).alias("n_bad"))
-    strata = totals.orderBy(F.desc("n_good"), "__stratum").limit(max_strata).collect()
+    known = measured.where(F.col(good).isNotNull()).select(F.col(stratum).alias("stratum"), F.col(good).alias("good"), *COUNTS)
+    n_strata = known.agg(F.count_distinct("stratum") + F.max(F.when(F.col("stratum").isNull(), 1).otherwise(0))).first()[0] or 0
     places = []
     for r in rules:
         grid = ", ".join(f"{c}D" for c in r.grid)
         places.append(F.struct(F.lit(r.name).alias("rule"), F.expr(f"size(filter(array({grid}), c -> {r.measure.format(q='')} >= c))").alias("reached")))
-    kept = known if len(strata) < max_strata else known.join(F.broadcast(totals.orderBy(F.desc("n_good"), "__stratum").limit(max_strata).select(F.col("__stratum").alias("__top"))), F.col("__stratum").eqNullSafe(F.col("__top")), "left_semi")
-    placed = kept.select("__stratum", good, F.inline(F.array(*places))).groupBy("__stratum", "rule", "reached").agg(F.count_if(F.col(good)).alias("good"), F.count_if(~F.col(good)).alias("bad"))
-    found = {(row["__stratum"], row["rule"], row["reached"]): (row["good"], row["bad"]) for row in placed.collect()}
-    table = {}
-    for row in strata:
+    placed = known.select("stratum", "good", F.inline(F.array(*places))).groupBy("stratum", "rule", "reached").agg(F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad"))
+    kind = measured.schema[stratum].dataType.simpleString()
+    schema = ", ".join([f"stratum {kind}", *(f"`{r.name}` double" for r in rules)])
+
+    def one(table: pa.Table) -> pa.Table:
+        found = {(r["rule"], r["reached"]): (r["n_good"], r["n_bad"]) for r in table.to_pylist()}
+        tallies = {}
         for r in rules:
             n = len(r.grid)
-            at = [found.get((row["__stratum"], r.name, k), (0, 0)) for k in range(n + 1)]
+            at = [found.get((r.name, k), (0, 0)) for k in range(n + 1)]
             # The i-th cutoff rejects what reaches at least n - i of them.
             sums = [tuple(map(sum, zip(*at[n - i :], strict=True))) for i in range(n)]
-            table[row["__stratum"], r.name] = Tally(row["n_good"], row["n_bad"], [g for g, _ in sums], [b for _, b in sums])
-    return choose(table, rules, risk, delta)
+            n_good, n_bad = map(sum, zip(*at, strict=True))
+            tallies[0, r.name] = Tally(n_good, n_bad, [g for g, _ in sums], [b for _, b in sums])
+        chosen = choose(tallies, rules, risk, delta / max(1, n_strata)).get(0, {})
+        columns = [table["stratum"].slice(0, 1 if chosen else 0)]
+        columns += [pa.array([chosen.get(r.name)] if chosen else [], type=pa.float64()) for r in rules]
+        return pa.Table.from_arrays(columns, names=["stratum", *(r.name for r in rules)])
+
+    return _store.materialize(placed.groupBy("stratum").applyInArrow(one, schema), "cutoffs")
+
+
+def judged(rows: DataFrame, cutoffs: DataFrame, *, stratum: str = STRATUM, rules: tuple[Rule, ...] = RULES, where: str = "", name: str = "rejected") -> DataFrame:
+    """``rows`` with whether any rule of their stratum rejects them; over COUNTS, in columns or in the struct named by ``where`` (with its dot)."""
+    own, cut, salt = (_store.free_name(rows, x) for x in ("__stratum", "__cutoffs", "__salt"))
+    table = cutoffs.select(F.col("stratum").alias(own), F.struct(*(F.col(f"`{r.name}`") for r in rules)).alias(cut))
+    same = F.col(f"`{stratum}`").eqNullSafe(F.col(own))
+    if cutoffs.count() <= BROADCAST_STRATA:
+        joined = rows.join(F.broadcast(table), same, "left")
+    else:
+        parts = table.withColumn(f"{salt}_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*(F.col(f"{where}{c}") for c in COUNTS)), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(parts, same & (F.col(salt) == F.col(f"{salt}_")), "left")
+    hit = F.lit(False)
+    for r in rules:
+        hit = hit | F.coalesce(F.expr(r.measure.format(q=where)) >= F.col(cut).getField(r.name), F.lit(False))
+    return joined.select(*(F.col(f"`{c}`") for c in rows.columns), hit.alias(name))
 
 
-def rejects(cutoffs: dict[object, dict[str, float]], stratum: Column | str = STRATUM, rules: tuple[Rule, ...] = RULES, where: str = "") -> Column:
-    """Whether any rule of the row's stratum rejects it; over COUNTS, in columns or in the struct named by ``where``."""
-    stratum = F.col(stratum) if isinstance(stratum, str) else stratum
-    verdict = F.lit(False)
-    for value, chosen in cutoffs.items():
-        hit = F.lit(False)
-        for r in rules:
-            if r.name in chosen:
-                hit = hit | (F.expr(r.measure.format(q=where)) >= F.lit(chosen[r.name]))
-        verdict = verdict | (stratum.eqNullSafe(F.lit(value)) & hit)
-    return verdict
+def _labelled(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """``rows`` (with doc_id) and whether the document is good (null: not labelled); labels that contradict each other for one id make it good."""
+    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__key")).agg((F.max(label_col) == 1).alias("good"))
+    return rows.join(known, rows["doc_id"] == known["__key"], "left").drop("__key")
 
 
 def measured(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum: str = STRATUM, label_col: str = "quality") -> DataFrame:
-    """doc_id, the stratum, COUNTS and whether the document is good (null: not labelled); written once, so texts are measured once.
-
-    Labels that contradict each other for one id make it good.
-    """
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__key")).agg((F.max(label_col) == 1).alias("good"))
+    """doc_id, the stratum, COUNTS and whether the document is good; written once, so texts are measured once."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum).alias(stratum), counts(text_col).alias("__counts")).select("doc_id", stratum, "__counts.*")
-    return _store.materialize(rows.join(known, rows["doc_id"] == known["__key"], "left").drop("__key"), "measured")
+    return _store.materialize(_labelled(rows, labels, id_col, label_col), "measured")
 
 
-def keep(docs: DataFrame, cutoffs: dict[object, dict[str, float]], *, text_col: str = "text", stratum: str = STRATUM) -> DataFrame:
-    """``docs`` without those that the base rule or a rule of their stratum rejects."""
-    counted = docs.withColumn("__counts", counts(F.col(text_col)))
-    bad = base_failed("__counts.") | rejects(cutoffs, stratum, where="__counts.")
-    return counted.where(~bad).drop("__counts")
+def keep(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum: str = STRATUM, label_col: str = "quality", **options) -> DataFrame:
+    """``docs`` without those that the base rule, or a rule of their stratum learnt from ``labels``, rejects.
+
+    Rows are written once with their counts, so texts are measured once, and joined by nothing but the cutoffs.
+    """
+    name, verdict = _store.free_name(docs, "__counts"), _store.free_name(docs, "__rejected")
+    staged = _store.materialize(docs.withColumn(name, counts(F.col(f"`{text_col}`"))), "counted")
+    rows = staged.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{stratum}`").alias("stratum"), f"{name}.*")
+    cutoffs = learn(_labelled(rows, labels, id_col, label_col), stratum="stratum", **options)
+    ruled = judged(staged, cutoffs, stratum=stratum, where=f"{name}.", name=verdict)
+    return ruled.where(~(base_failed(f"{name}.") | F.col(verdict))).select(*(F.col(f"`{c}`") for c in docs.columns))

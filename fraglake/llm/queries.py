@@ -77,10 +77,10 @@ def op9_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_risk_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents", "doc_id", "text", "lang"), _table(spark, sf_dir, "labels", "doc_id", "quality")
     measured = quality.measured(docs, labels)
-    cutoffs = quality.learn(measured)
-    kept = ~quality.base_failed() & ~quality.rejects(cutoffs)
+    ruled = quality.judged(measured, quality.learn(measured))
+    kept = ~quality.base_failed() & ~F.col("rejected")
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return measured.select("doc_id", *columns, quality.base_failed().alias("base_failed"), kept.alias("kept"))
+    return ruled.select("doc_id", *columns, quality.base_failed().alias("base_failed"), kept.alias("kept"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
