@@ -8,10 +8,11 @@ verified by Hamming distance.  With 4 blocks and 2 bits a key has 32 bits.
 Copies are collapsed first: only distinct fingerprints are joined, each with the
 smallest id that has it.  A key that many different fingerprints share isn't
 expanded into pairs: there, each fingerprint is put at all points within
-``distance`` / 2 bits (65 of them for 2 bits), and those that meet at a point are
-linked to the smallest of them.  Two fingerprints meet at a point exactly when they
-differ in at most 2 bits, so the components are the same, from a number of rows
-that is in proportion to the fingerprints.
+``distance`` / 2 bits (65 of them for 2 bits; for an odd distance there are outer points,
+one bit farther), and those that meet at a point are linked to the smallest that has it
+as an inner one.  Two fingerprints meet so exactly when they differ in at most
+``distance`` bits, so the components are the same, from a number of rows that is in
+proportion to the fingerprints.
 
 Components come from alternating large-star and small-star steps over the links
 (Kiverias et al., "Connected Components in MapReduce and Beyond"), each step
@@ -26,6 +27,7 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ DISTANCE = 2
 BLOCKS = 4
 #: Fingerprints under one key above which they are linked through points instead of pairs.
 PAIRS_UP_TO = 16
+#: Beyond this distance the points around a fingerprint are too many.
+MAX_DISTANCE = 4
 
 
 def simhash(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -101,14 +105,14 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, pai
     few, many = shared.where(F.col("n") <= pairs_up_to), shared.where(F.col("n") > pairs_up_to)
     left, right = few.select("number", "key", F.col("fp").alias("a")), few.select("number", "key", F.col("fp").alias("b"))
     pairs = left.join(right, ["number", "key"]).where("a < b").where(_distance("a", "b") <= distance).select("a", "b")
-    # Points: the fingerprint itself and, one bit flipped each, its neighbours.  Radius 1 is for up to 2 bits.
-    if distance > 2:
-        raise ValueError("links through points are for up to 2 bits")
-    flips = [0] if distance == 0 else [0, *((1 << i) if i < 63 else -(1 << 63) for i in range(64))]
+    if distance > MAX_DISTANCE:
+        raise ValueError(f"links through points are for up to {MAX_DISTANCE} bits: {sum(comb(64, r) for r in range(-(-distance // 2) + 1))} points a fingerprint are too many")
+    flips = [sum(1 << i for i in chosen) for r in range(-(-distance // 2) + 1) for chosen in combinations(range(64), r)]
     crowd = many.select("fp").distinct()
-    points = crowd.select("fp", F.explode(F.array(*[F.lit(x).cast("long") for x in flips])).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
-    hubs = points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a < top")
-    near = points.join(hubs.select("point", "a"), "point").where("a < fp").where(_distance("a", "fp") <= distance).select("a", F.col("fp").alias("b"))
+    table = F.array(*[F.lit(x - (1 << 64) if x >> 63 else x).cast("long") for x in flips])
+    points = crowd.select("fp", F.explode(table).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), (F.bit_count("flip") <= distance // 2).alias("inner"))
+    hubs = points.groupBy("point").agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("a"), F.count("*").alias("n")).where("n > 1 and a is not null")
+    near = points.join(hubs.select("point", "a"), "point").where("a <> fp").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
     return pairs.union(near).distinct()
 
 
@@ -168,10 +172,11 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Rows are numbered in a written copy, so rows that repeat are told apart.  Texts
     pass through no join but the last, against the numbers of the rows to leave out.
     """
-    numbered = docs.withColumns({"__row": F.monotonically_increasing_id(), "__fp": fingerprint(text_col, shingle_words)})
+    row, fp = _store.free_name(docs, "__row"), _store.free_name(docs, "__fp")
+    numbered = docs.withColumns({row: F.monotonically_increasing_id(), fp: fingerprint(F.col(f"`{text_col}`"), shingle_words)})
     staged = _store.materialize(numbered, "numbered")
-    found = assign(staged.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col("__fp").alias("fp")), **options)
+    found = assign(staged.select(F.col(row).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(fp).alias("fp")), **options)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    kept = found.groupBy("root").agg(F.min_by("row", order).alias("row")).select("row")
-    dropped = staged.select("__row").join(kept.withColumnRenamed("row", "__row"), "__row", "left_anti")
-    return staged.join(dropped, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = found.groupBy("root").agg(F.min_by("row", order).alias("row")).select(F.col("row").alias(row))
+    dropped = staged.select(row).join(kept, row, "left_anti")
+    return staged.join(dropped, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

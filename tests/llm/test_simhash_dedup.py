@@ -15,7 +15,7 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def components(rows):
+def components(rows, distance=2):
     """Smallest id reachable, by trying all pairs of fingerprints."""
     prints = sorted({f for _, f in rows})
     root = {f: f for f in prints}
@@ -27,7 +27,7 @@ def components(rows):
 
     for i, a in enumerate(prints):
         for b in prints[:i]:
-            if bin(a ^ b).count("1") <= 2:
+            if bin(a ^ b).count("1") <= distance:
                 root[find(a)] = find(b)
     low = {}
     for k, f in rows:
@@ -45,10 +45,13 @@ def test_fingerprint(text):
     assert simhash_dedup.simhash(text.encode()) == fingerprint(text)
 
 
-@pytest.mark.parametrize("pairs_up_to", [1, 16])
-def test_components_against_all_pairs(spark, pairs_up_to):
+@pytest.mark.parametrize(("pairs_up_to", "distance", "blocks"), [(1, 2, 4), (16, 2, 4), (1, 0, 1), (1, 1, 3), (1, 3, 5), (1, 4, 6), (16, 4, 6)])
+def test_components_against_all_pairs(spark, pairs_up_to, distance, blocks):
     rng = random.Random(3)
     prints = [rng.getrandbits(64) for _ in range(40)]
+    for f in list(prints[12:18]):  # just near enough, just too far
+        for n in (1, 2, 3, 4, 5):
+            prints.append(f ^ sum(1 << b for b in rng.sample(range(64), n)))
     for f in list(prints[:12]):  # chains and crowds of near fingerprints
         for _ in range(12):
             f ^= (1 << rng.randrange(64)) | (1 << rng.randrange(64))
@@ -56,11 +59,16 @@ def test_components_against_all_pairs(spark, pairs_up_to):
         prints += [f ^ (1 << b) for b in range(0, 64, 3)]
     rows = [(rng.randrange(10_000), f) for f in prints for _ in range(rng.choice((1, 1, 3)))] + [(None, prints[0]), (None, 12345)]
     table = _store.materialize(spark.createDataFrame([(k, signed(f)) for k, f in rows], "doc_id long, fp long"), "test")
-    got = {(r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash_dedup.assign(table, pairs_up_to=pairs_up_to).collect()}
-    expected = components(rows)
+    got = {(r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash_dedup.assign(table, pairs_up_to=pairs_up_to, distance=distance, blocks=blocks).collect()}
+    expected = components(rows, distance)
     assert got == {(k, f, expected[f]) for k, f in rows}
 
 
+def test_distances_beyond_the_points(spark):
+    with pytest.raises(ValueError, match="points"):
+        simhash_dedup.links(spark.createDataFrame([(1,)], "fp long"), distance=5, blocks=7)
+
+
 def test_a_crowd_isnt_expanded_into_pairs(spark):
     base = 0x0123456789ABCDEF
     rng = random.Random(5)
@@ -72,7 +80,7 @@ def test_a_crowd_isnt_expanded_into_pairs(spark):
 
 def test_rows_of_all_kinds(spark):
     rows = [(4, "same text here now"), (2, "same text here now"), (None, "same text here now"), (7, None), (9, ""), (5, "other words stand here"), (5, "other words stand here")]
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fp string")
+    docs = spark.createDataFrame([(*r, "x", 0, 1) for r in rows], "doc_id long, text string, fp string, __row int, __fp int")
     got = sorted((r["doc_id"] or -1, r["component_id"]) for r in simhash_dedup.near_duplicates(docs).collect())
     assert got == [(-1, 2), (2, 2), (4, 2), (5, 5), (5, 5), (7, 7), (9, 7)]
     kept = simhash_dedup.keep_one(docs)
