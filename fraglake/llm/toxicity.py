@@ -12,8 +12,8 @@ The classifier is logistic regression over hashed features that a text has or
 hasn't: each word, and its first 4, 5 and 6 bytes, so that stems count in
 languages that inflect.  Words are runs of digits, a-z and non-ASCII characters
 after lower-casing A-Z.  It is fitted with numpy on the driver, on a bounded
-sample: ``MAX_POSITIVE`` positives and ``MAX_UNLABELLED`` unlabelled documents, each
-within ``MAX_BYTES``, those with the smallest hashes of their ids.  Every document is scored, over its
+sample: ``MAX_POSITIVE`` positives and ``MAX_UNLABELLED`` unlabelled documents,
+those with the smallest hashes of their ids, with ``MAX_FEATURES`` features each.  Every document is scored, over its
 whole text.
 
 Defined results: null and empty texts have no features and get the score of the
@@ -32,16 +32,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from . import _text
 
 FEATURE_BITS = 20
 STEMS = (4, 5, 6)
-#: Bounds of the training sample: texts of either kind, and their bytes (a text that begins within the bound is taken whole, its features are 2^20 at most).
+#: Bounds of the training sample: texts of either kind, and distinct features of one text, those of the smallest numbers, which are hashes (256 MB in all).
 MAX_POSITIVE = 2000
 MAX_UNLABELLED = 6000
-MAX_BYTES = 64 << 20
+MAX_FEATURES = 8192
 #: Features with less evidence are left out of the model.
 LEAST_Z = 4.0
 #: Weights nearer to zero than this are dropped after training.
@@ -159,11 +158,11 @@ def held_out(key: Column | str) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("null")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_bytes: int = MAX_BYTES, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_features: int = MAX_FEATURES, **options) -> Model:
     """Fit on labels and texts of ids that aren't held out.
 
     The prior comes from all training labels; the sample is bounded by
-    ``max_positive`` and ``max_unlabelled`` texts, and ``max_bytes`` for either.
+    ``max_positive`` and ``max_unlabelled`` texts of ``max_features`` features.
     """
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).alias("y")).where(F.col("k").isNotNull() & F.col("y").isNotNull() & ~held_out("k"))
     share = known.agg(F.avg(F.when(F.col("y") == 1, 1.0).otherwise(0.0)).alias("prior")).first()["prior"] or 0.0
@@ -176,11 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     # At most max_positive + max_unlabelled ids are broadcast.
     # Of rows that share a sampled id, the one with the smallest text hash is taken.
     one = texts.join(F.broadcast(sample), "k").groupBy("y", "k").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
-    # Running sums over the sample alone.
-    bytes_ = F.coalesce(F.octet_length("t"), F.lit(0)).cast("long")
-    before = F.sum(bytes_).over(W.partitionBy("y").orderBy(F.xxhash64("k"), "k").rowsBetween(W.unboundedPreceding, 0)) - bytes_
-    one = one.withColumn("before", before).where(F.col("before") < max_bytes)
-    rows = one.select("y", "k", _distinct_features("t").alias("f")).toArrow().sort_by([("y", "ascending"), ("k", "ascending")])
+    rows = one.select("y", "k", F.slice(_distinct_features("t"), 1, max_features).alias("f")).toArrow().sort_by([("y", "ascending"), ("k", "ascending")])
     lists = rows.column("f").combine_chunks()
     ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
     parts = np.split(values[ends[0] : ends[-1]], ends[1:-1] - ends[0]) if len(lists) else []

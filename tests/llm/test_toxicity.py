@@ -136,13 +136,13 @@ def test_held_out_labels_of_the_tables(spark):
     assert len(out) > 50 and np.mean([p == y for p, y in out]) > 0.95
 
 
-def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
-    docs = spark.createDataFrame([(k, "x" * 100) for k in range(100)], "doc_id long, text string")
-    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(100)], "doc_id long, toxic int")
+def test_the_sample_is_bounded_in_features(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(50 * k))) for k in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(20)], "doc_id long, toxic int")
     seen = []
-    monkeypatch.setattr(toxicity, "fit", lambda positive, unlabelled, prior: seen.append((len(positive), len(unlabelled))))
-    toxicity.train(docs, labels, max_bytes=950)
-    assert seen == [(10, 10)]
+    monkeypatch.setattr(toxicity, "fit", lambda positive, unlabelled, prior: seen.extend(len(x) for x in (*positive, *unlabelled)))
+    toxicity.train(docs, labels, max_features=30)
+    assert max(seen) == 30
 
 
 def test_repeated_ids_take_one_place_in_the_sample(spark, monkeypatch):
