@@ -3,9 +3,9 @@
 How pieces go together depends on their lengths alone.  The lengths are counted
 (at most ``length`` distinct ones, however many pieces there are), the counts are
 packed on the driver, and each piece finds its place from its rank among the
-pieces of its length.  Ranks are taken in (length, hash bucket) groups plus the
-counts of the buckets before, so a length that a third of all pieces have is
-dealt with by many tasks.
+pieces of its length.  The tasks that cut the pieces number those of each length; what
+the tasks before them have is added from the counts by task and length.  So pieces
+aren't moved, and a length that a third of them have is dealt with by all tasks.
 
 Bin completion: around the largest piece left, enumerate the fillings that no
 other filling dominates, the first ones found by least waste; give up a branch whose
@@ -244,7 +244,7 @@ def segments(patterns: list[Pattern]) -> dict[int, Segments]:
 
 
 def cut(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 2, vocabulary: str | None = None) -> DataFrame:
-    """Pieces of at most ``length`` ids: doc_id, piece, start, length, ids and row, a number of its own for each.
+    """Pieces of at most ``length`` ids: doc_id, piece, start, length, ids, part (a number of the task) and rank (among the task's pieces of that length).
 
     Of a longer document only the first piece may be shorter.
     """
@@ -253,57 +253,55 @@ def cut(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", leng
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        end, row = np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId() << 33
+        end, part, ranks = np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId(), [0] * (length + 1)
         for batch in batches:
             ids = _tokens.encode_column(batch.column(1), vocabulary)
-            rows, held = ([], [], [], [], [], []), 0
+            rows, held = tuple([] for _ in schema), 0
             for key, found in zip(batch.column(0).to_pylist(), ids, strict=True):
                 raw = found.astype("<u4", copy=False).tobytes() + end
                 n = len(raw) // 4
                 edges = [0, *range(n % length or length, n + 1, length)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                    for column, value in zip(rows, (key, k, a, b - a, raw[4 * a : 4 * b], row), strict=True):
+                    for column, value in zip(rows, (key, k, a, b - a, raw[4 * a : 4 * b], part, ranks[b - a]), strict=True):
                         column.append(value)
-                    row += 1
+                    ranks[b - a] += 1
                 held += n
                 if held > 1 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
-                    rows, held = ([], [], [], [], [], []), 0
+                    rows, held = tuple([] for _ in schema), 0
             if rows[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("row", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("part", pa.int32()), ("rank", pa.int64())])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids binary, row long")
+    return rows.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids binary, part int, rank long")
 
 
 def place(pieces: DataFrame, length: int = 1024) -> DataFrame:
-    """``pieces`` with sequence_id and offset; they are read twice, so write them first.  Needs the columns length and row."""
-    spark = pieces.sparkSession
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `length` rows
+    """``pieces`` with sequence_id and offset; they are read twice, so write them first.  Needs the columns length, part and rank."""
+    counted = _store.materialize(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "counts", narrow=True)  # at most `length` rows a task
+    counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `length` rows
     table = segments(bin_completion(counts, length).patterns)
 
     @F.arrow_udf("struct<sequence_id: long, offset: long>")
     def where(size: pa.Array, rank: pa.Array) -> pa.Array:
         sizes, ranks = size.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
         bins, offsets = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64)
-        for x in np.unique(sizes):
-            mine, s = np.flatnonzero(sizes == x), table[int(x)]
+        order = np.argsort(sizes, kind="stable")
+        lengths, first = np.unique(sizes[order], return_index=True)
+        for x, mine in zip(lengths.tolist(), np.split(order, first[1:]), strict=True):
+            s = table[x]
             k = np.searchsorted(s.first, ranks[mine], side="right") - 1
             j = ranks[mine] - s.first[k]
             bins[mine] = s.bin[k] + j // s.per_bin[k]
             offsets[mine] = s.offset[k] + j % s.per_bin[k] * x
         return pa.StructArray.from_arrays([pa.array(bins), pa.array(offsets)], names=["sequence_id", "offset"])
 
-    buckets = _store.shuffle_partitions(spark)
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
-    before = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    offsets = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n"))  # at most `length` x buckets rows
-    offsets = offsets.select("length", "bucket", (F.sum("n").over(before) - F.col("n")).alias("before"))
-    ranked = bucketed.withColumn("rank", F.row_number().over(W.partitionBy("length", "bucket").orderBy("row")) - F.lit(1))
-    ranked = ranked.join(offsets, ["length", "bucket"])
-    placed = ranked.withColumn("placed", where("length", (F.col("rank") + F.col("before")).cast("long")))
-    return placed.select(*(c for c in pieces.columns if c != "row"), "placed.*")
+    earlier = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, 0)
+    before = counted.select("length", "part", (F.sum("n").over(earlier) - F.col("n")).alias("before"))
+    ranked = pieces.join(_store.few(before, counted.count()), ["length", "part"])
+    placed = ranked.withColumn("placed", where("length", F.col("rank") + F.col("before")))
+    return placed.select(*(c for c in pieces.columns if c not in ("part", "rank")), "placed.*")
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 2, vocabulary: str | None = None) -> DataFrame:
