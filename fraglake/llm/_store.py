@@ -13,6 +13,7 @@ import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where ``spark.checkpoint.dir`` is unset and the master is local; removed when the process ends.
 LOCAL_FOLDER = f"/tmp/checkpoints/fraglake-{uuid.uuid4().hex}"
@@ -43,9 +44,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return a scan of it."""
+def materialize(df: DataFrame, name: str, compression: str = "zstd", narrow: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and return a scan of it; narrow tables in an eighth as many files as there are shuffle partitions."""
     path = fresh_path(df.sparkSession, name)
+    if narrow:
+        df = df.coalesce(-(-shuffle_partitions(df.sparkSession) // 8))
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -55,6 +58,18 @@ def stable(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
 
 
+#: Row numbers, of 8 bytes each, that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(df: DataFrame, bound: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Narrow rows, marked for broadcast if they are at most ``most``: by ``bound``, which they can't exceed, else written and counted."""
+    if bound <= most:
+        return F.broadcast(df)
+    df = materialize(df, "counted")
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete all that this process has written to the shared folder; tables read from there can't be read any more."""
     while _written:
@@ -74,12 +89,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Texts in an Arrow batch; Spark's own setting of 10,000 is meant for rows of numbers.
-BATCH_ROWS = 1000
+#: Texts in an Arrow batch, and in a batch of the Parquet reader; Spark's own settings of 10,000 and 4096 are meant for rows of numbers.
+BATCH_ROWS, READER_ROWS = 1000, 512
 
 
 def use_small_batches(spark: SparkSession) -> None:
-    """Bound what goes to Python at a time, unless the session is set lower already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the texts that are held at a time, unless the session is set lower already."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)):
+        if not 0 < int(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))

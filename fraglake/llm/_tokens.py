@@ -23,7 +23,7 @@ from . import _text
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that are remembered; when there are more, remembering begins anew.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 750_000
 #: Longer pieces, in bytes, are encoded each time.
 CACHE_BYTES = 24
 #: Unknown pieces that go to the library as one text.

@@ -138,11 +138,11 @@ def _settled(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root) for every node but the roots of links (a, b), a < b; root is the smallest node that can be reached."""
-    edges = _store.materialize(edges.distinct(), "links")
+    edges = _store.materialize(edges.distinct(), "links", narrow=True)
     for _ in range(max_rounds):
         if _settled(edges):
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        edges = _store.materialize(_star(_star(edges, True), False), "links")
+        edges = _store.materialize(_star(_star(edges, True), False), "links", narrow=True)
     raise RuntimeError("the components did not settle")
 
 
@@ -178,5 +178,5 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     found = assign(staged.select(F.col(row).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(fp).alias("fp")), **options)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     kept = found.groupBy("root").agg(F.min_by("row", order).alias("row")).select(F.col("row").alias(row))
-    dropped = staged.select(row).join(kept, row, "left_anti")
+    dropped = _store.few(staged.select(row).join(kept, row, "left_anti"), staged.count())
     return staged.join(dropped, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
