@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema as S
+from .functions import sequence
 from .operators import aneuploidy, bins, gc, models, motifs, overlap, peaks, reads, sizes, spectrum, sweep, tiles
 from .sources import bam, fasta, gff, sam, sinks, tsv
 
@@ -111,31 +112,35 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
             canonical = args.uselexsmallest
             found = motifs.five_prime(df, args.k, canonical, tiled=tiled if args.useref else None, tile_size=TILE, **more)
         if size:
-            return sinks.size_matrix(found, *size)
+            return sinks.size_matrix(found, *size, motifs=sequence.kmer_list(args.k, "RY" if more["purpyr"] else "ACGT", canonical or more["purpyr"]))
         filled = motifs.zero_filled(found, df, args.k, canonical, more["purpyr"], args.norm, args.x)
-        keys = [r["motif"] for r in filled.select("motif").distinct().orderBy("motif").collect()]  # the vocabulary, 4^k at most
+        keys = sequence.kmer_list(args.k, "RY" if more["purpyr"] else "ACGT", canonical or more["purpyr"])
         return sinks.wide_rows(filled, "motif", keys, name=name)
     if c == "fszd":
         filled = sizes.zero_filled(df, args.lower, args.upper, args.norm, args.x, use_insert=not args.noinsert, **keep)
         return sinks.wide_rows(filled, "size", list(range(args.lower, args.upper)), name=name)
     if c == "delfi":
-        return bins.short_long(df, contigs, args.binsize, (args.short_low, args.short_up), (args.long_low, args.long_up), not args.noinsert, args.mapqual)
+        found = bins.short_long(df, contigs, args.binsize, (args.short_low, args.short_up), (args.long_low, args.long_up), not args.noinsert, args.mapqual)
+        keys = [f"{chrom}_delfi_{b}" for chrom, n in contigs for b in range(n // args.binsize + 1)]
+        return sinks.wide_rows(found.withColumn("key", F.concat_ws("_delfi_", "chrom", "bin")), "key", keys, "ratio", name)
     if c == "bincounts":
         counted = bins.dense_counts(df, contigs, args.binsize, **keep)
         if args.gccorrect:
             joined = counted.withColumn("n", F.col("n").cast("double")).join(_gc(spark, args, contigs, args.binsize), ["chrom", "bin"])
             counted = gc.correct(joined, args.frac, clamp=True).drop("gc")
-        return bins.dense.normalise(counted, args.norm, per=args.x)
+        return sinks.wide_rows(bins.dense.normalise(counted, args.norm, per=args.x), "label", bins.labels(contigs, args.binsize), name=name)
     signal = lambda k=120, low=120, high=180: sweep.runs(sweep.steps(reads.fragments(df, low, high), k))
     if c == "nucs":
         found = signal(args.k, args.min_size, args.max_size)
         if args.chrom:
             start, end = peaks.check_region(args.start, args.end, dict(contigs)[args.chrom])
             found = sweep.clip(found.where(F.col("chrom") == args.chrom), start, end)
-        return peaks.call(found, args.distance, args.prominence)
+        return peaks.bed_lines(peaks.call(found, args.distance, args.prominence), "sample_id")
     if c == "fourier":
         genes = overlap.reconcile_contigs(gff.genes(spark, args.gff), spark.createDataFrame(contigs, "chrom string, length long"))
-        return spectrum.gene_scores(signal(), overlap.gene_windows(genes, args.width), args.width, args.amplitude_min, args.amplitude_max)
+        found = spectrum.by_name(spectrum.gene_scores(signal(), overlap.gene_windows(genes, args.width), args.width, args.amplitude_min, args.amplitude_max))
+        keys = [r["gene"] for r in genes.groupBy("gene").agg(F.max("ord").alias("ord")).orderBy("ord").collect()]  # the annotation's genes
+        return sinks.wide_rows(found, "gene", keys, "intensity", name)
     if c in ("dnase1l3", "embed"):
         if not args.reference:
             raise SystemExit("cut-site motifs need --reference")
@@ -170,7 +175,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("fraglake").getOrCreate()
-    sinks.write_tsv(run(spark, args), args.out, args.header)
+    table = run(spark, args)
+    if args.command == "nucs":  # BED lines have no header
+        table.write.mode("overwrite").text(args.out)
+    else:
+        sinks.write_tsv(table, args.out, args.header)
 
 
 if __name__ == "__main__":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,13 @@ def kmers(k: int, letters: str = "ACGT", only_canonical: bool = False) -> Column
     return F.filter(whole, lambda s: s <= revcomp(s)) if only_canonical else whole
 
 
+def kmer_list(k: int, letters: str = "ACGT", only_canonical: bool = False) -> list[str]:
+    """The same k-mers as Python strings, for column names."""
+    swap = str.maketrans("ACGTRY", "TGCAYR")
+    whole = ("".join(p) for p in product(letters, repeat=k))
+    return [s for s in whole if not only_canonical or s <= s[::-1].translate(swap)]
+
+
 def count_letters(s: Column | str, letters: str) -> Column:
     """How many characters of ``s`` are among ``letters``."""
     return F.length(s) - F.length(F.translate(s, letters, ""))

@@ -35,13 +35,30 @@ def _log_density(x: Column, mean: Column, sd: Column) -> Column:
     return -0.5 * F.pow((x - mean) / sd, F.lit(2.0)) - F.ln(sd) - 0.5 * math.log(2 * math.pi)
 
 
+def missing_bins(sample_shares: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sample_id, n_missing: how many of the bins in ``wanted`` (chrom, bin) a sample lacks; a row a sample."""
+    have = sample_shares.join(wanted.select("chrom", "bin"), ["chrom", "bin"], "left_semi").groupBy("sample_id").agg(F.count("*").alias("n"))
+    samples = sample_shares.select("sample_id").distinct().join(have, "sample_id", "left")
+    total = wanted.agg(F.count("*").alias("total")).withColumn("__one", F.lit(0))
+    counted = samples.withColumn("__one", F.lit(0)).join(F.broadcast(total), "__one")  # one number
+    return counted.select("sample_id", (F.col("total") - F.coalesce("n", F.lit(0))).alias("n_missing"))
+
+
+def complete(sample_shares: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``sample_shares``; a sample that lacks a bin of ``wanted`` makes the job fail, since its ratio would shift silently."""
+    text = F.concat(F.lit("sample "), F.col("sample_id"), F.lit(" lacks "), F.col("n_missing").cast("string"), F.lit(" bins"))
+    checked = missing_bins(sample_shares, wanted).withColumn("ok", F.when(F.col("n_missing") > 0, F.raise_error(text)).otherwise(F.lit(None).cast("string")).isNull())
+    return sample_shares.join(checked.where("ok").select("sample_id"), "sample_id", "left_semi")
+
+
 def trisomy_ratio(sample_shares: DataFrame, panel: DataFrame, ff: float = 0.10, target: str = "chr21") -> DataFrame:
     """sample_id, llr, ff, and, where the ratio is positive, llr_updated, ff_inferred and their ratio; else nulls.
 
     ``panel`` is :func:`panel_statistics`.  Under the alternative the target's means
-    grow by ff / 2 of themselves and all are scaled to sum to 1.
+    grow by ff / 2 of themselves and all are scaled to sum to 1.  Samples must have all
+    bins of the panel.
     """
-    joined = sample_shares.join(panel, ["chrom", "bin"])
+    joined = complete(sample_shares, panel).join(panel, ["chrom", "bin"])
     on_target = F.col("chrom").startswith(target)
     per_sample = W.partitionBy("sample_id")
 
@@ -63,6 +80,6 @@ def trisomy_ratio(sample_shares: DataFrame, panel: DataFrame, ff: float = 0.10,
 
 
 def fetal_fraction(bin_shares: DataFrame, coefficients: DataFrame, intercept: float = 0.0) -> DataFrame:
-    """sample_id, ff: a linear predictor over bins' shares; coefficients are (chrom, bin, coef), one a bin."""
-    joined = bin_shares.join(coefficients, ["chrom", "bin"])
+    """sample_id, ff: a linear predictor over bins' shares; coefficients are (chrom, bin, coef), one a bin, of which a sample must have all."""
+    joined = complete(bin_shares, coefficients).join(coefficients, ["chrom", "bin"])
     return joined.groupBy("sample_id").agg((F.sum(F.col("x") * F.col("coef")) + F.lit(intercept)).alias("ff"))

@@ -29,6 +29,11 @@ def _bins(order: int, chrom: str, length: int, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(length // size).cast("long")), one)
 
 
+def labels(contigs: Contigs, size: int) -> list[str]:
+    """The labels of all bins, in order, as Python strings for column names."""
+    return [f"{c}_{b * size}_{min((b + 1) * size, n)}" for c, n in contigs for b in range(n // size + 1)]
+
+
 def bin_of(size: int) -> Column:
     return F.floor(F.col("reference_start") / F.lit(size)).cast("long")
 

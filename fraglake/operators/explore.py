@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import numbers
+
 #: Lengths of the human reference's (GRCh38) chromosomes, in order: fixed values.
 CHROMOSOMES = {
     "chr1": 248956422, "chr2": 242193529, "chr3": 198295559, "chr4": 190214555, "chr5": 181538259, "chr6": 170805979, "chr7": 159345973, "chr8": 145138636,
@@ -14,6 +16,11 @@ CHROMOSOMES = {
 }
 
 
+def _number(df: DataFrame, column: str) -> Column:
+    text = F.col(f"`{column}`")
+    return numbers.number(text) if dict(df.dtypes)[column] == "string" else text.try_cast("double")
+
+
 def histogram(df: DataFrame, value: str, low: float, high: float, n: int) -> DataFrame:
     """bucket (1 to n; 0 and n + 1: outside), count."""
     bucket = F.width_bucket(F.col(value), F.lit(float(low)), F.lit(float(high)), F.lit(n))
@@ -46,7 +53,7 @@ def quantile_bin(df: DataFrame, value: str, q: int) -> DataFrame:
 
 def colour_kind(df: DataFrame, column: str, most: int = 10) -> str:
     """none, categorical or continuous; whole numbers with few distinct values are categories."""
-    number = F.col(column).try_cast("double")
+    number = _number(df, column)
     row = df.agg(F.count(column).alias("n"), F.count(number).alias("numbers"), F.count_distinct(column).alias("d"), F.coalesce(F.bool_and(F.abs(number - F.rint(number)) < 1e-9), F.lit(False)).alias("whole")).first()
     if not row["n"]:
         return "none"
@@ -62,11 +69,17 @@ def category_order(df: DataFrame, column: str) -> DataFrame:
 
 
 def selection_band(newest: DataFrame, selected: DataFrame, at_least: int = 6) -> DataFrame:
-    """feature_name, mean, sd (of the population), n over the selected samples; only when there are ``at_least`` of them."""
+    """sample_id, feature_name, mean, sd (of the population), n over the selected samples.
+
+    From ``at_least`` of them on one band, whose sample_id is null; of fewer, each
+    sample's own values as its mean, with sd null and n 1.
+    """
     chosen = newest.join(selected.select("sample_id").distinct(), "sample_id", "left_semi")
-    enough = chosen.agg((F.count_distinct("sample_id") >= at_least).alias("ok"))
+    many = chosen.select("sample_id").distinct().limit(at_least).count() >= at_least
+    if not many:
+        return chosen.select("sample_id", "feature_name", F.col("value").cast("double").alias("mean"), F.lit(None).cast("double").alias("sd"), F.lit(1).cast("long").alias("n"))
     banded = chosen.groupBy("feature_name").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.count("value").alias("n"))
-    return banded if enough.first()["ok"] else banded.limit(0)
+    return banded.select(F.lit(None).cast("string").alias("sample_id"), "feature_name", "mean", "sd", "n")
 
 
 def population_band(features: DataFrame, statistics: DataFrame) -> DataFrame:
@@ -90,6 +103,22 @@ def z_scores(values: DataFrame, statistics: DataFrame, keys: list[str]) -> DataF
     return joined.where(usable).withColumn("z", (F.col("value") - F.col("mean")) / F.col("std"))
 
 
+def flag_outliers(scored: DataFrame, threshold: float = 3.0) -> DataFrame:
+    """``scored`` with whether each bin by itself is that far out."""
+    return scored.withColumn("is_outlier", F.abs("z") >= threshold)
+
+
+def with_sizes(bins: DataFrame, known: dict[str, int] | None = None) -> DataFrame:
+    """chrom, size of the contigs in ``bins`` (chrom, bin_end): the known length, else the largest end of a bin."""
+    table = F.create_map(*(x for c, n in (known or CHROMOSOMES).items() for x in (F.lit(c), F.lit(n).cast("long"))))
+    return bins.groupBy("chrom").agg(F.max("bin_end").cast("long").alias("last")).select("chrom", F.coalesce(F.element_at(table, F.col("chrom")), F.col("last")).alias("size"))
+
+
+def page(rows: DataFrame, number: int, size: int = 20, order: list[str] | None = None) -> DataFrame:
+    """Rows of one page, from 0 on, in the order of the given columns (all, if none are)."""
+    return rows.orderBy(*(F.col(f"`{c}`") for c in order or rows.columns)).offset(number * size).limit(size)
+
+
 def stouffer(scored: DataFrame, by: list[str], threshold: float = 3.0) -> DataFrame:
     """The combined score of each group: sum of z over the root of their number."""
     combined = scored.groupBy(*by).agg((F.sum("z") / F.sqrt(F.count("*"))).alias("stouffer_z"), F.count("*").alias("n"))
@@ -109,7 +138,7 @@ def genome_position(start: Column, end: Column, offset: Column) -> Column:
 
 def scatter(wide: DataFrame, x: str, y: str, colour: str | None = None, log_x: bool = False, log_y: bool = False) -> DataFrame:
     """_sample_id, x, y and the colour; rows without either number, and not positive ones on log axes, are dropped."""
-    px, py = F.col(f"`{x}`").try_cast("double"), F.col(f"`{y}`").try_cast("double")
+    px, py = _number(wide, x), _number(wide, y)
     keep = px.isNotNull() & py.isNotNull()
     if log_x:
         keep, px = keep & (px > 0), F.when(px > 0, F.log10(F.when(px > 0, px)))

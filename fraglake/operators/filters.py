@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import numbers
+
 
 def _text(df: DataFrame, name: str) -> Column:
     """A value's text; missing: nan."""
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("nan"))
 
 
-def _valid(pattern: Any) -> bool:
+def _valid(df: DataFrame, pattern: Any) -> bool:
+    """Whether the engine that will run the pattern takes it."""
     if not isinstance(pattern, str) or not pattern.strip():
         return False
     try:
-        re.compile(pattern)
-    except re.error:
+        df.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
         return False
     return True
 
@@ -37,14 +41,15 @@ def predicate(df: DataFrame, spec: dict[str, Any]) -> Column:
     if name not in df.columns:
         return F.lit(False)
     if op == "range":
-        number = F.col(f"`{name}`").try_cast("double")
+        text = F.col(f"`{name}`")
+        number = numbers.number(text) if dict(df.dtypes)[name] == "string" else text.try_cast("double")
         keep = number.isNotNull() & ~F.isnan(number)
         if spec.get("lo") is not None:
             keep = keep & (number >= F.lit(float(spec["lo"])))
         if spec.get("hi") is not None:
             keep = keep & (number <= F.lit(float(spec["hi"])))
         return F.coalesce(keep, F.lit(False))
-    if op in ("==", "!=") and _valid(spec.get("expr")):
+    if op in ("==", "!=") and _valid(df, spec.get("expr")):
         hit = _text(df, name).rlike(spec["expr"])
         return hit if op == "==" else ~hit
     return F.lit(False)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import numbers
+
 BOOL_WORDS = ("true", "false", "yes", "no")
 #: Share of values that must parse for a column to be numeric or temporal.
 SHARE = 0.9
@@ -23,7 +25,7 @@ def facts(df: DataFrame, columns: list[str]) -> dict[str, dict]:
         text = F.trim(F.col(f"`{c}`").cast("string"))
         lowered = F.lower(text)
         real = text.isNotNull() & (text != "") & (lowered != "nan")
-        number = F.when(real, text.try_cast("double"))
+        number = F.when(real, numbers.number(text))
         time = F.when(real, F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(text, F.lit("yyyy/MM/dd")), F.try_to_timestamp(text, F.lit("dd-MM-yyyy"))))
         near = F.abs(number - number.cast("float").cast("double")) <= 1e-9 + 1e-6 * F.abs(number)
         sums += [

@@ -24,10 +24,10 @@ def join(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_r
 
 
 def gene_windows(genes: DataFrame, width: int = 10_000) -> DataFrame:
-    """gene, chrom, w_start, w_end: ``width`` bases from the gene's start in its own direction."""
+    """gene (and gene_id and ord, where ``genes`` has them), chrom, w_start, w_end: ``width`` bases from the gene's start in its own direction."""
     forward = F.col("strand") == "+"
     start = F.when(forward, F.col("start")).otherwise(F.col("end") - width)
-    return genes.select("gene", "chrom", start.alias("w_start"), (start + width).alias("w_end"))
+    return genes.select(*(c for c in ("gene_id", "ord") if c in genes.columns), "gene", "chrom", start.alias("w_start"), (start + width).alias("w_end"))
 
 
 def reconcile_contigs(genes: DataFrame, contigs: DataFrame) -> DataFrame:

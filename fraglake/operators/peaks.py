@@ -76,9 +76,9 @@ def call(signal: DataFrame, distance: int = 147, prominence: float = 5) -> DataF
     return found.select("sample_id", "chrom", "start", "end", F.concat(F.lit("nucleosome_"), F.col("chrom"), F.lit("_"), number.cast("string")).alias("name"), "score", F.lit(".").alias("strand"))
 
 
-def bed_lines(calls: DataFrame) -> DataFrame:
-    """One text column of BED6 lines; the score has two decimals."""
-    return calls.select(F.concat_ws("\t", "chrom", "start", "end", "name", F.format_string("%.2f", "score"), "strand").alias("value"))
+def bed_lines(calls: DataFrame, name: str = "name") -> DataFrame:
+    """One text column of BED6 lines, in the order of samples and positions; the score has two decimals."""
+    return calls.orderBy("sample_id", "chrom", "start").select(F.concat_ws("\t", "chrom", "start", "end", name, F.format_string("%.2f", "score"), "strand").alias("value"))
 
 
 def check_region(start: int | None, end: int | None, length: int) -> tuple[int, int]:

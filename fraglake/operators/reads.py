@@ -38,6 +38,19 @@ def mapped_counts(reads: DataFrame) -> DataFrame:
     return reads.groupBy("sample_id").agg(F.count_if(lacks(S.UNMAPPED)).alias("mapped"))
 
 
+#: Samples whose totals, of about 100 bytes each, are broadcast.
+BROADCAST_SAMPLES = 100_000
+
+
+def _with_totals(reads: DataFrame) -> DataFrame:
+    """``reads`` with their sample's number of mapped reads; the totals are counted first, and reads aren't moved unless there are very many samples."""
+    totals = mapped_counts(reads)
+    rows = totals.limit(BROADCAST_SAMPLES + 1).collect()
+    if len(rows) <= BROADCAST_SAMPLES:
+        totals = F.broadcast(reads.sparkSession.createDataFrame(rows, totals.schema))
+    return reads.join(totals, "sample_id")
+
+
 def subsample(reads: DataFrame, at_most: int, key: Column | str = "qname", seed: int = 42) -> DataFrame:
     """About ``at_most`` reads of each sample, chosen by a hash of ``key``: the same for any partitioning.
 
@@ -45,14 +58,14 @@ def subsample(reads: DataFrame, at_most: int, key: Column | str = "qname", seed:
     """
     share = F.least(F.lit(1.0), F.lit(float(at_most)) / F.greatest(F.col("mapped"), F.lit(1)))
     drawn = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return reads.join(mapped_counts(reads), "sample_id").where(drawn <= share).drop("mapped")
+    return _with_totals(reads).where(drawn <= share).drop("mapped")
 
 
 def subsample_by_digest(reads: DataFrame, at_most: int, key: Column) -> DataFrame:
     """As :func:`subsample`, by the MD5 digest of ``key``, which other engines have too."""
     share = F.least(F.lit(1.0), F.lit(float(at_most)) / F.greatest(F.col("mapped"), F.lit(1)))
     drawn = F.conv(F.substring(F.md5(key), 1, 7), 16, 10).cast("double") / F.lit(float(1 << 28))
-    return reads.join(mapped_counts(reads), "sample_id").where(drawn <= share).drop("mapped")
+    return _with_totals(reads).where(drawn <= share).drop("mapped")
 
 
 def fragment_size(use_insert: bool = True) -> Column:

@@ -43,9 +43,11 @@ def _power(k: int, width: int) -> tuple[Column, Column]:
 def gene_scores(signal: DataFrame, windows: DataFrame, width: int = 10_000, p_min: float = 193, p_max: float = 199, points: int = 100) -> DataFrame:
     """sample_id, gene, intensity: the mean, over ``points`` periods from p_min to p_max, of the interpolated power.
 
-    A window without signal has intensity 0 for the samples that have any signal
-    in its contig's windows; ``signal`` holds runs of the protection score.
+    A window without signal has intensity 0, for all samples that have any signal;
+    ``signal`` holds runs of the protection score.  Where windows have a gene_id, genes
+    are told apart by it, and the result has it (and ord) too: see :func:`by_name`.
     """
+    keys = [c for c in ("gene_id", "ord", "gene") if c in windows.columns]
     ks = needed(width, p_min, p_max)
     parts = overlap.join(signal, windows, ("p", "p_end"), ("w_start", "w_end"), ["chrom"])
     parts = parts.withColumns({"a": F.greatest("p", "w_start") - F.col("w_start"), "b": F.least("p_end", "w_end") - F.col("w_start")})
@@ -53,7 +55,7 @@ def gene_scores(signal: DataFrame, windows: DataFrame, width: int = 10_000, p_mi
     for k in ks:
         cosine, sine = _power(k, width)
         sums += [F.sum(cosine).alias(f"c{k}"), F.sum(sine).alias(f"s{k}")]
-    powers = parts.groupBy("sample_id", "gene").agg(*sums)
+    powers = parts.groupBy("sample_id", *keys).agg(*sums)
     power = {k: 2 * (F.col(f"c{k}") ** 2 + F.col(f"s{k}") ** 2) / float(width) ** 2 for k in ks}
     weight = dict.fromkeys(ks, 0.0)
     for i in range(points):  # linear interpolation is a fixed weighted sum of the harmonics' powers
@@ -64,4 +66,13 @@ def gene_scores(signal: DataFrame, windows: DataFrame, width: int = 10_000, p_mi
         weight[ks[j]] += (1 - share) / points
         weight[ks[j + 1]] += share / points
     total = sum((power[k] * w for k, w in weight.items()), F.lit(0.0))
-    return powers.select("sample_id", "gene", total.alias("intensity"))
+    scored = powers.select("sample_id", *keys, total.alias("intensity"))
+    # The dense result: each sample's one row is joined with all windows.
+    one = F.lit(0).alias("__one")
+    grid = signal.select("sample_id", one).distinct().join(windows.select(*keys, one).distinct(), "__one").drop("__one")
+    return grid.join(scored, ["sample_id", *keys], "left").withColumn("intensity", F.coalesce("intensity", F.lit(0.0)))
+
+
+def by_name(scores: DataFrame) -> DataFrame:
+    """sample_id, gene, intensity: of genes of one name the one that stands last in the annotation."""
+    return scores.groupBy("sample_id", "gene").agg(F.max_by("intensity", F.struct("ord", "gene_id")).alias("intensity"))

@@ -159,6 +159,15 @@ def csm_motifs(spark, sf_dir):
     return motifs.cut_site(pseudo.reads(spark, sf_dir), pseudo.tiles(spark), pseudo.contigs(spark), tile_size=pseudo.TILE)
 
 
+@query(
+    f"""with {_READS}, {_KEPT}, {_TILES}, {_CUT.replace(" - 2 as spot", " - 3 as spot").replace("as int), 4)) as m", "as int), 5)) as m")}
+    select sample_id, least(m, {_rc("m")}) as motif, count(*) as n from concrete group by all"""
+)
+def csm_k5(spark, sf_dir):
+    """For odd k the extra base stands on the left of the cut."""
+    return motifs.cut_site(pseudo.reads(spark, sf_dir), pseudo.tiles(spark), pseudo.contigs(spark), k=5, tile_size=pseudo.TILE)
+
+
 @query(f"with {_READS}, {_KEPT}, {_TILES}, {_CUT}, py as (select *, translate(m, 'AGCT', 'RRYY') as p from concrete) select sample_id, least(p, {_rc('p')}) as motif, count(*) as n from py group by all")
 def csm_purpyr(spark, sf_dir):
     return motifs.cut_site(pseudo.reads(spark, sf_dir), pseudo.tiles(spark), pseudo.contigs(spark), tile_size=pseudo.TILE, purpyr=True)
@@ -258,9 +267,10 @@ def _wave(k: int) -> str:
     dense as (select sample_id, gene, w_start, wps, unnest(range(greatest(p, w_start), least(p_end, w_end))) as pos from runs join windows on runs.chrom = windows.chrom and p < w_end and w_start < p_end),
     waves as (select sample_id, gene, {_wave(50)}, {_wave(51)}, {_wave(52)} from dense group by all),
     powers as (select sample_id, gene, {", ".join(f"2 * (cos{k} * cos{k} + sin{k} * sin{k}) / 1e8 as p{k}" for k in (50, 51, 52))} from waves),
-    grid as (select 193 + 6.0 * range / 99 as period from range(100))
-    select sample_id, gene, round(avg(case when period <= 10000 / 51.0 then p52 + (p51 - p52) * (period - 10000 / 52.0) / (10000 / 51.0 - 10000 / 52.0) else p51 + (p50 - p51) * (period - 10000 / 51.0) / (10000 / 50.0 - 10000 / 51.0) end), 6) as intensity
-    from powers cross join grid group by all"""
+    grid as (select 193 + 6.0 * range / 99 as period from range(100)),
+    scores as (select sample_id, gene, avg(case when period <= 10000 / 51.0 then p52 + (p51 - p52) * (period - 10000 / 52.0) / (10000 / 51.0 - 10000 / 52.0) else p51 + (p50 - p51) * (period - 10000 / 51.0) / (10000 / 50.0 - 10000 / 51.0) end) as intensity
+    from powers cross join grid group by all)
+    select s.sample_id, w.gene, round(coalesce(intensity, 0), 6) as intensity from (select distinct sample_id from runs) s cross join windows w left join scores on scores.sample_id = s.sample_id and scores.gene = w.gene"""
 )
 def gene_spectrum(spark, sf_dir):
     return _round(spectrum.gene_scores(_signal(spark, sf_dir), overlap.gene_windows(pseudo.genes(spark), 10_000)), "intensity")
@@ -308,9 +318,18 @@ def llr_t21(spark, sf_dir):
     return _round(found, "llr", "llr_updated", "ff_inferred", "ratio", places=5)
 
 
+@query(f"with {_SHARES} select sample_id, (select count(*) from panel) - count(*) filter (where (bin * 31 + ord) % 4 <> cast(right(sample_id, 1) as int) % 4) as n_missing from (select shares.*, filled.ord from shares join filled using (sample_id, chrom, bin)) group by 1")
+def panel_missing_bins(spark, sf_dir):
+    """Samples without some bins, as a check before a ratio."""
+    shares = _shares(spark, sf_dir)
+    order = F.right("chrom", F.lit(2)).cast("int") - 20
+    some = shares.where((F.col("bin") * 31 + order) % 4 != F.right("sample_id", F.lit(1)).cast("int") % 4)
+    return aneuploidy.missing_bins(some, aneuploidy.panel_statistics(shares))
+
+
 @query(f"with {_SHARES} select sample_id, round(sum(x * ((bin * 7 + cast(right(chrom, 1) as int)) % 13 - 6) / 10.0) + 0.05, 6) as ff from shares group by 1")
 def ff_linear(spark, sf_dir):
-    weights = _bin_table(spark, WIDE_BIN).select("chrom", "bin", (((F.col("bin") * 7 + F.right("chrom", F.lit(1)).cast("int")) % 13 - 6) / F.lit(10.0)).alias("coef"))
+    weights = _bin_table(spark, WIDE_BIN).where("bin_end > bin_start").select("chrom", "bin", (((F.col("bin") * 7 + F.right("chrom", F.lit(1)).cast("int")) % 13 - 6) / F.lit(10.0)).alias("coef"))
     return _round(aneuploidy.fetal_fraction(_shares(spark, sf_dir), weights, 0.05), "ff")
 
 
@@ -338,6 +357,16 @@ def store_latest(spark, sf_dir):
     return _latest(spark, sf_dir)
 
 
+@query("with ingests as (select cast(c_custkey as varchar) as sample_id, c_acctbal as v, 1 as ingest, c_custkey as r from customer union all select cast(c_custkey as varchar), -c_acctbal, 2, c_custkey from customer where c_custkey % 5 = 0) select sample_id, arg_max(v, ingest) as value from ingests group by 1")
+def store_ties(spark, sf_dir):
+    """Two ingests under one version: the later one counts, wherever its rows stand."""
+    customer = _table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    first = store.split_rejected(store.melt(customer, "c_custkey", {"c_acctbal": "Float64"}, 1)["Float64"])[0]
+    again = customer.where("c_custkey % 5 = 0").withColumn("c_acctbal", -F.col("c_acctbal"))
+    second = store.split_rejected(store.melt(again, "c_custkey", {"c_acctbal": "Float64"}, 1)["Float64"])[0]
+    return store.latest(second.unionByName(first)).select("sample_id", "value")
+
+
 @query(f"with {_VALUES}, {_STATS} select feature_name, round(mean, 6) as mean, round(std, 6) as std from stats")
 def store_feature_stats(spark, sf_dir):
     return _round(store.feature_statistics(_latest(spark, sf_dir)), "mean", "std")
@@ -431,6 +460,13 @@ def filter_range(spark, sf_dir):
     return filters.apply(_table(spark, sf_dir, "customer"), specs).select("c_custkey", "c_acctbal", "c_mktsegment")
 
 
+@query("select c_custkey from customer where c_custkey % 3 <> 0 and c_acctbal between 0 and 3000")
+def filter_range_text(spark, sf_dir):
+    """Numbers in text; with a type letter after them, as in 12d, they are none."""
+    text = _table(spark, sf_dir, "customer").selectExpr("c_custkey", "concat(cast(c_acctbal as string), case when c_custkey % 3 = 0 then 'd' else '' end) as balance")
+    return filters.apply(text, [{"column": "balance", "op": "range", "lo": 0, "hi": 3000}]).select("c_custkey")
+
+
 @query("select c_custkey, c_mktsegment from customer where regexp_matches(c_mktsegment, 'U[IR]|^MACH')")
 def filter_regex(spark, sf_dir):
     return filters.apply(_table(spark, sf_dir, "customer"), [{"column": "c_mktsegment", "op": "==", "expr": "U[IR]|^MACH"}]).select("c_custkey", "c_mktsegment")
@@ -466,12 +502,23 @@ def category_order(spark, sf_dir):
     return explore.category_order(_table(spark, sf_dir, "customer"), "c_mktsegment")
 
 
-@query(f"with {_VALUES} select feature_name, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as sd, count(value) as n from latest where cast(sample_id as bigint) % 7 = 0 group by 1")
+@query(
+    f"""with {_VALUES}, chosen as (select * from latest where cast(sample_id as bigint) % 7 = 0), size as (select count(distinct sample_id) as k from chosen)
+    select cast(null as varchar) as sample_id, feature_name, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as sd, count(value) as n from chosen where (select k from size) >= 6 group by 2
+    union all select sample_id, feature_name, round(value, 6), null, 1 from chosen where (select k from size) < 6"""
+)
 def selection_band(spark, sf_dir):
     values = _latest(spark, sf_dir)
     return _round(explore.selection_band(values, values.where(F.col("sample_id").cast("long") % 7 == 0)), "mean", "sd")
 
 
+@query(f"with {_VALUES} select sample_id, feature_name, round(value, 6) as mean, cast(null as double) as sd, 1 as n from latest where sample_id in ('1', '2', '3')")
+def selection_of_few(spark, sf_dir):
+    """A comparison of five samples at most shows each of them."""
+    values = _latest(spark, sf_dir)
+    return _round(explore.selection_band(values, values.where(F.col("sample_id").isin("1", "2", "3"))), "mean")
+
+
 @query(f"with {_VALUES}, {_STATS} select feature_name, round(mean, 6) as mean, round(mean - coalesce(std, 0), 6) as low, round(mean + coalesce(std, 0), 6) as high from stats where feature_name in ('click', 'view')")
 def population_band(spark, sf_dir):
     wanted = spark.createDataFrame([("click",), ("view",)], "feature_name string")
@@ -503,6 +550,17 @@ def stouffer_by_chrom(spark, sf_dir):
     return _round(explore.stouffer(_z(spark, sf_dir), ["sample_id", "chrom"], 1.5), "stouffer_z", places=5)
 
 
+@query(f"with {_Z} select sample_id, chrom, bin, abs(z) >= 1.2 as is_outlier from scored")
+def bin_outliers(spark, sf_dir):
+    return explore.flag_outliers(_z(spark, sf_dir), 1.2).select("sample_id", "chrom", "bin", "is_outlier")
+
+
+@query("select c_custkey, c_name from customer order by c_custkey offset 40 limit 20")
+def table_page(spark, sf_dir):
+    """The third page of a table; the limit is the feature."""
+    return explore.page(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), 2, 20, ["c_custkey"])
+
+
 _SIZES = ", ".join(f"({i}, '{c}', {n})" for i, (c, n) in enumerate(explore.CHROMOSOMES.items()))
 
 

@@ -19,10 +19,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def genes(spark: SparkSession, path: str) -> DataFrame:
-    """gene (its name, else its id), chrom, start, end, strand; lines that repeat an id are merged to their hull."""
+    """gene_id, gene (its name, else its id), chrom, start, end, strand, ord (file order); lines that repeat an id are merged to their hull."""
     rows = read(spark, path).where(F.col("type") == "gene")
     attribute = lambda k: F.try_element_at("attributes", F.lit(k))
     named = rows.select(
-        F.coalesce(attribute("gene_id"), attribute("ID")).alias("gene_id"), F.coalesce(attribute("gene_name"), attribute("Name"), attribute("gene_id"), attribute("ID")).alias("gene"), F.col("seqid").alias("chrom"), "start", "end", "strand"
+        F.coalesce(attribute("gene_id"), attribute("ID")).alias("gene_id"), F.coalesce(attribute("gene_name"), attribute("Name"), attribute("gene_id"), attribute("ID")).alias("gene"), F.col("seqid").alias("chrom"), "start", "end", "strand", F.monotonically_increasing_id().alias("ord")
     )
-    return named.groupBy("gene_id", "gene", "chrom", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("gene_id")
+    return named.groupBy("gene_id", "gene", "chrom", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("ord").alias("ord"))

@@ -17,8 +17,8 @@ def reference_span(cigar):
 
 
 def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Reads of SAM files in the library's schema; the sample is the file's path; starts are 0-based."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("sample_id"), F.split("value", "\t").alias("f")).where(~F.col("value").startswith("@"))
+    """Reads of SAM files in the library's schema; the sample is the file's path (without file: before it, as for BAM); starts are 0-based."""
+    lines = spark.read.text(paths).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "").alias("sample_id"), F.split("value", "\t").alias("f")).where(~F.col("value").startswith("@"))
     col = {n: F.get("f", F.lit(i)) for i, n in enumerate(FIELDS)}
     start = col["pos"].try_cast("long") - 1  # header lines may be evaluated before they are filtered out
     seq = F.when(col["seq"] != "*", col["seq"])

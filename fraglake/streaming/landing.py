@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.store import Store
+from ..operators.store import Store, ingest_stamp
 
 
 def values_stream(spark: SparkSession, folder: str, value_type: str = "double", max_files: int = 1000) -> DataFrame:
@@ -23,7 +23,7 @@ def append_to(stream: DataFrame, store: Store, logical: str, checkpoint: str, av
     """Append each batch to the store; a batch that is repeated after a failure rewrites equal rows, which reading resolves."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        store.append(logical, batch.withColumn("ingest_seq", F.lit(batch_id).cast("long")))
+        store.append(logical, batch.withColumn("ingest_seq", F.lit(ingest_stamp()).cast("long")))
 
     writer = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -50,4 +50,14 @@ def test_command_writes_a_table(spark, files, tmp_path, command):
         row = got.first()
         assert row["label"] == "b" and float(row["probability"]) == 0.5 and abs(float(row["prediction"]) - 500_001) < 100
     if command == "bincounts":
-        assert got.count() == 13
+        assert got.count() == 1 and len(got.columns) == 14 and got.columns[0] == "filename"
+        assert sum(float(x) for x in got.first()[1:]) == pytest.approx(1e6, rel=1e-4)
+    if command == "delfi":
+        assert got.count() == 1 and got.columns[1] == "chr1_delfi_0" and len(got.columns) == 14
+    if command == "fourier":
+        assert got.columns == ["filename", "N1"] and got.count() == 1
+    if command == "csmbsz":
+        assert got.count() == 10  # every motif in purines and pyrimidines, seen or not
+    if command == "nucs":
+        line = spark.read.text(out).first()["value"].split("\t")
+        assert len(line) == 6 and line[0] == "chr1" and line[3].endswith("a.sam") and line[5] == "."

@@ -291,7 +291,7 @@ def test_filters(spark):
     assert run({"column": "t", "op": "==", "expr": "^a|^c"}) == [1, 3]
     assert run({"column": "t", "op": "!=", "expr": "a"}) == [3]  # missing is the text nan, which has an a
     assert run({"column": "t", "op": "!=", "expr": "b"}) == [2]
-    for bad in ({"column": "t", "op": "==", "expr": " "}, {"column": "t", "op": "!=", "expr": "("}, {"column": "no", "op": "==", "expr": "a"}, {"column": "t", "op": "<", "expr": "a"}):
+    for bad in ({"column": "t", "op": "==", "expr": " "}, {"column": "t", "op": "!=", "expr": "("}, {"column": "no", "op": "==", "expr": "a"}, {"column": "t", "op": "<", "expr": "a"}, {"column": "t", "op": "==", "expr": "(?P<x>a)"}):
         assert run(bad) == []
     assert run() == [1, 2, 3]
     assert len(filters.complete([{"column": "v", "op": "range", "lo": 1, "hi": None}, {"column": "v", "op": "==", "expr": "a"}, {"op": "=="}])) == 1
@@ -336,6 +336,104 @@ def test_store_round_trip(spark, tmp_path):
     assert s.catalog().count() == 0
 
 
+@pytest.mark.parametrize("stop", ["before", "between", "after"])
+def test_a_swap_that_is_cut_off_loses_nothing(spark, tmp_path, stop):
+    s = store.Store(spark, str(tmp_path / "store"))
+    s.append("Float64", spark.createDataFrame([("a", "f", float(v), v, 0) for v in range(5)], "sample_id string, feature_name string, value double, version long, ingest_seq long"))
+    path, new, old = s._values("Float64"), *s._beside(s._values("Float64"))
+    store.latest(s.read("Float64")).write.parquet(new)
+    fs, (target, fresh, aside) = s._files(path, new, old)
+    if stop != "before":
+        fs.rename(target, aside)
+    if stop == "after":
+        fs.rename(fresh, target)
+    assert s.read("Float64").count() == (5 if stop == "before" else 1)
+    s.compact("Float64")
+    assert [r["value"] for r in s.read("Float64").collect()] == [4.0]
+    assert set(spark.read.parquet(f"{s.path}/values").columns) >= {"data_type", "value"}
+
+
+def test_an_old_folder_left_aside_is_put_back(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "store"))
+    s.append("Int8", spark.createDataFrame([("a", "f", 3, 1, 0)], "sample_id string, feature_name string, value int, version long, ingest_seq long"))
+    fs, (target, aside) = s._files(s._values("Int8"), s._beside(s._values("Int8"))[1])
+    fs.mkdirs(aside.getParent())
+    fs.rename(target, aside)
+    s.compact("Int8")
+    assert s.read("Int8").count() == 1
+
+
+def test_a_later_ingest_of_one_version_counts(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "store"))
+    s.ingest(spark.createDataFrame([(str(i), "1.5") for i in range(50)], "id string, f string").repartition(4), "id", {"f": "Float64"}, 1)
+    s.ingest(spark.createDataFrame([("7", "2.5"), ("7", "3.5")], "id string, f string").coalesce(1), "id", {"f": "Float64"}, 1)
+    newest = {r["sample_id"]: r["value"] for r in store.latest(s.read("Float64")).collect()}
+    assert newest["7"] == 3.5 and len(newest) == 50 and newest["8"] == 1.5
+
+
+def test_upload_and_selection(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "store"))
+    wide = spark.createDataFrame([("a", "1", "x", "3", "u"), ("b", "2.5", "y", "4", "v")], "id string, n string, t string, w string, left string")
+    assert s.upload(wide, 1, col_types={"w": "String"}, include=["n", "t", "w"], rename={"n": "number"}, feature_type="meta", description="d") == {}
+    assert s.feature_types(["number", "t", "w", "none"]) == {"number": "Float32", "t": "String", "w": "String", "none": "String"}
+    assert {r["data_type"]: (r["n_rows"], r["n_features"]) for r in s.tables().collect()} == {"Float32": (2, 1), "String": (4, 2)}
+    chosen = spark.createDataFrame([("a",), ("b",)], "sample_id string")
+    got = s.selection(["number", "t"], chosen, [{"column": "number", "op": "range", "lo": 2}]).collect()
+    assert [tuple(r) for r in got] == [("b", "2.5", "y")]
+    with pytest.raises(ValueError, match="names"):
+        s.upload(wide, 2, rename={"n": "t"})
+    with pytest.raises(ValueError, match="types"):
+        s.upload(wide, 2, data_type="Number")
+    assert store.column_types(wide, ["n", "t"], {"t": "Date"}, "Bool") == {"n": "Bool", "t": "Date"}
+
+
+def test_files_without_newer_columns_are_read(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "store"))
+    spark.createDataFrame([("a", "f", 1.0, 1, 0)], "sample_id string, feature_name string, value double, version long, ingest_seq long").write.parquet(s._values("Float64"))
+    spark.createDataFrame([("f", "Float64")], "feature_name string, data_type string").write.parquet(f"{s.path}/catalog")
+    assert s.read("Float64").first()["row_seq"] is None and s.catalog().first()["description"] is None
+    assert store.latest(s.read("Float64")).first()["value"] == 1.0
+
+
+@pytest.mark.parametrize("k", [3, 5])
+def test_cut_sites_of_odd_length(spark, k):
+    text = "".join("ACGT"[(i * i + i // 3) % 4] for i in range(64))
+    tiled = spark.createDataFrame([("c", i, text[8 * i : 8 * i + 8]) for i in range(8)], "chrom string, tile long, seq string")
+    reads_ = [("s", "q", 0, "c", a, a + 20, 60, "20M", 40, 20, "A" * 20) for a in (5, 13, 17)] + [("s", "q", 16, "c", a, a + 20, 60, "20M", -40, 20, "A" * 20) for a in (6, 21)]
+    df = spark.createDataFrame(reads_, S.READS)
+    cuts = [5, 13, 17, 26, 41]
+    expected = {}
+    for c in cuts:
+        m = text[c - (k + 1) // 2 : c + k // 2]
+        m = min(m, m[::-1].translate(str.maketrans("ACGT", "TGCA")))
+        expected[m] = expected.get(m, 0) + 1
+    got = motifs.cut_site(df, tiled, spark.createDataFrame([("c", 64)], "chrom string, length long"), k, 8)
+    assert {r["motif"]: r["n"] for r in got.collect()} == expected
+
+
+def test_genes_of_one_name_and_windows_without_runs(spark):
+    signal = spark.createDataFrame([("s", "1", 0, 5000, 3), ("s", "1", 5000, 9000, 1)], "sample_id string, chrom string, p long, p_end long, wps long")
+    genes = spark.createDataFrame([("g1", "N", "1", "+", 0, 10, 0), ("g2", "N", "1", "+", 4000, 4010, 1), ("g3", "far", "2", "+", 0, 10, 2)], "gene_id string, gene string, chrom string, strand string, start long, end long, ord long")
+    windows = overlap.gene_windows(genes)
+    scores = {r["gene_id"]: r["intensity"] for r in spectrum.gene_scores(signal, windows).collect()}
+    alone = {g: spectrum.gene_scores(signal, windows.where(f"gene_id = '{g}'")).first()["intensity"] for g in ("g1", "g2")}
+    assert scores == {"g1": pytest.approx(alone["g1"]), "g2": pytest.approx(alone["g2"]), "g3": 0.0}
+    named = {r["gene"]: r["intensity"] for r in spectrum.by_name(spectrum.gene_scores(signal, windows)).collect()}
+    assert named == {"N": pytest.approx(alone["g2"]), "far": 0.0}
+
+
+def test_missing_bins_stop_a_ratio(spark):
+    shares = spark.createDataFrame([("a", "chr1", 0, 0.5), ("a", "chr21", 0, 0.5), ("b", "chr1", 0, 1.0)], "sample_id string, chrom string, bin long, x double")
+    panel = spark.createDataFrame([("chr1", 0, 0.5, 0.1), ("chr21", 0, 0.5, 0.1)], "chrom string, bin long, m double, sd double")
+    assert {r["sample_id"]: r["n_missing"] for r in aneuploidy.missing_bins(shares, panel).collect()} == {"a": 0, "b": 1}
+    with pytest.raises(Exception, match="sample b lacks 1 bins"):
+        aneuploidy.trisomy_ratio(shares, panel).collect()
+    assert aneuploidy.trisomy_ratio(shares.where("sample_id = 'a'"), panel).count() == 1
+    weights = panel.selectExpr("chrom", "bin", "1.0D as coef")
+    with pytest.raises(Exception, match="lacks"):
+        aneuploidy.fetal_fraction(shares, weights).collect()
+
+
 def test_catalog_rules(spark):
     fresh = spark.createDataFrame([("5", "Float64", 1.0, None), ("5", "String", None, None), ("AA-csm", "UInt8", 2.0, 1.0), ("odd", "UInt8", 3.0, None)], "feature_name string, data_type string, mean double, std double")
     existing = spark.createDataFrame([("5", "meta", "kept"), ("odd", "mine", None)], "feature_name string, feature_type string, description string")
@@ -356,8 +454,17 @@ def test_explorer_helpers(spark):
         explore.quantile_edges(df, "k", 11)
     assert explore.detail_columns(None, "a", "b", "a") == ["a", "b"] and explore.detail_columns(["z", "z"], "a", "b", None) == ["z"]
     values = df.selectExpr("cast(k as string) sample_id", "'f' feature_name", "v value")
-    assert explore.selection_band(values, values.limit(5)).count() == 0
-    assert explore.selection_band(values, values).first()["n"] == 20
+    few = explore.selection_band(values, values.where("sample_id in ('1', '2', '3')")).collect()
+    assert sorted((r["sample_id"], r["mean"], r["sd"], r["n"]) for r in few) == [("1", 1.0, None, 1), ("2", 2.0, None, 1), ("3", 3.0, None, 1)]
+    band = explore.selection_band(values, values).first()
+    assert band["n"] == 20 and band["sample_id"] is None
+    assert [r["k"] for r in explore.page(df, 1, 6, ["k"]).collect()] == list(range(6, 12))
+    sizes = spark.createDataFrame([("chr21", 5), ("odd", 70), ("odd", 30)], "chrom string, bin_end int")
+    assert sorted(map(tuple, explore.with_sizes(sizes).collect())) == [("chr21", 46709983), ("odd", 70)]
+    text = spark.createDataFrame([("5d",), ("6",), (" 7.5 ",), ("1e3",), ("8f",), ("x",)], "t string")
+    assert explore.colour_kind(text, "t") == "categorical"
+    assert [r["t"] for r in filters.apply(text, [{"column": "t", "op": "range", "lo": 5}]).collect()] == ["6", " 7.5 ", "1e3"]
+    assert infer.types(spark.createDataFrame([("5d",), ("6d",), ("7d",)], "t string"), ["t"]) == {"t": "String"}
 
 
 def test_models(spark):

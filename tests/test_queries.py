@@ -39,8 +39,8 @@ def test_query_equals_sql(spark, sf, con, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
-def test_other_queries_run(spark, sf, name):
-    assert plans.QUERIES[name](spark, sf).count() > 0
+def test_other_queries_run(spark, name):
+    assert plans.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
 
 
 def test_entry(spark):
