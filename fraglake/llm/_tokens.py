@@ -174,7 +174,11 @@ class PieceEncoder:
         padded = np.zeros(n + CACHE_BYTES + 8, dtype=np.uint8)
         padded[:n] = data
         whole = np.ndarray((n + CACHE_BYTES,), dtype="<u8", buffer=padded.data, strides=(1,))
-        keys = np.stack([whole[starts + 8 * k] & _LOW_BYTES[np.clip(sizes - 8 * k, 0, 8)] for k in range(3)])
+        keys = np.zeros((3, len(starts)), dtype=np.uint64)
+        keys[0] = whole.take(starts) & _LOW_BYTES.take(sizes, mode="clip")
+        for k in (1, 2):
+            at = np.flatnonzero(sizes > 8 * k)
+            keys[k, at] = whole.take(starts[at] + 8 * k) & _LOW_BYTES.take(sizes[at] - 8 * k, mode="clip")
         short = sizes <= CACHE_BYTES
         found = table.find(keys, sizes)  # never a long piece
         raw = odd = None
@@ -236,14 +240,14 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, cache_pieces: int = CACHE_PIECES) -> PieceEncoder:
     """One encoder, with its table, for the life of a Python worker."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, cache_pieces)
 
 
-def encode_column(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
+def encode_column(texts: pa.Array, path: str, cache_pieces: int = CACHE_PIECES) -> Iterator[np.ndarray]:
     """The ids of each text of a string column, as unsigned 32-bit integers; null: none."""
-    known = encoder(path)
+    known = encoder(path, cache_pieces)
     for w in _text.windows(texts):
         yield from known.encode_window(w.data, w.offsets)
 

@@ -35,6 +35,8 @@ SHARD_TOKENS = 1 << 20
 MIN_COUNT = 4
 #: A round takes the pairs that occur at least 1 / STEP as often as its most frequent one.
 STEP = 4
+#: Pieces that the encoder remembers here, where nothing else holds memory: about 90 MB.
+CACHE_PIECES = 1_500_000
 BROADCAST_SHARDS = 1_000_000
 _MAGIC = b"RPSHARD1"
 
@@ -266,7 +268,7 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
             return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "n_docs": len(keys), "n_ids": len(flat), "payload": payload}], schema=schema)
 
         for batch in batches:
-            for key, found in zip(batch.column(0).to_pylist(), _tokens.encode_column(batch.column(1), vocabulary), strict=True):
+            for key, found in zip(batch.column(0).to_pylist(), _tokens.encode_column(batch.column(1), vocabulary, CACHE_PIECES), strict=True):
                 size = len(found) + 1
                 if keys and total + size > shard_tokens:
                     yield flush()
