@@ -90,7 +90,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 #: Texts in an Arrow batch, and in a batch of the Parquet reader; Spark's own settings of 10,000 and 4096 are meant for rows of numbers.
-BATCH_ROWS, READER_ROWS = 1000, 512
+BATCH_ROWS, READER_ROWS = 500, 256
 
 
 def use_small_batches(spark: SparkSession) -> None:
