@@ -512,7 +512,7 @@ def selection_band(spark, sf_dir):
     return _round(explore.selection_band(values, values.where(F.col("sample_id").cast("long") % 7 == 0)), "mean", "sd")
 
 
-@query(f"with {_VALUES} select sample_id, feature_name, round(value, 6) as mean, cast(null as double) as sd, 1 as n from latest where sample_id in ('1', '2', '3')")
+@query(f"with {_VALUES} select sample_id, feature_name, round(value, 6) as mean, cast(null as double) as sd, cast(1 as bigint) as n from latest where sample_id in ('1', '2', '3')")
 def selection_of_few(spark, sf_dir):
     """A comparison of five samples at most shows each of them."""
     values = _latest(spark, sf_dir)
