@@ -37,7 +37,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity of at least 0.8."""
+    """One document of each group of near-duplicates: SimHash blocks of five-word shingles, checked for a Jaccard similarity of at least 0.8."""
     _store.use_small_batches(spark)
     return near_dedup.keep_one(docs).select(*COLUMNS)
 

@@ -1,22 +1,27 @@
-"""Near-duplicates by the similarity of their word shingles.
+"""Near-duplicates by SimHash blocks, checked on the word shingles.
 
 Two texts are near-duplicates if their sets of ``SHINGLE_WORDS``-word shingles have a
-Jaccard similarity of at least ``SIMILARITY``.  A Hamming distance of SimHash can't
-stand for this: at 0.8 about one bit in seven differs (10 of 64), and no choice of
-blocks that still selects anything covers that.  Candidates come from MinHash
-instead: ``BANDS`` keys of ``ROWS`` minima each.  Two texts of similarity s share a key with
-chance 1 - (1 - s^ROWS)^BANDS, so at 0.8 one pair in twenty million is missed, and
-fewer above.  Every candidate is then checked on the whole sets.
-
-Exact copies are collapsed first.  Then the first text under each key is compared
-with the others, and components are taken of the links found; that settles nearly all
-groups, with a row a text and key.  Only keys whose texts are in different components
-are looked at again.  Where they have few texts all pairs of different components are
-checked.  Keys with many texts are put together to crowds, by the component of their
-first text; those in it are the core, the others are stragglers.  Core and stragglers
-are dealt into blocks of bounded size, and each pair of blocks, one of stragglers at
-least, is a group that compares all its texts at once by matrix products.  So every
-pair that shares a key is checked, or known to be in one component.
+Jaccard similarity of at least ``SIMILARITY``.  Their SimHash fingerprints, over the
+distinct shingles, then differ in at most 15 % of the bits on average, which is too many
+for the few blocks of ``simhash_dedup``.  So the fingerprint is longer: ``blocks`` pieces
+of ``bits`` bits each, and ``CHECK_BITS`` more that the candidates are compared by.  Bits
+that differ are mostly those whose sums are near zero; in each block the ``WILD`` bits
+with the smallest sums may have any value, so a text stands at 2^WILD points of each
+block, and two texts meet in a block exactly if they agree on all bits that are wild in
+neither.  Pairs that meet differ in at most ``CHECK_DISTANCE`` of the other bits, or are
+left out; the rest are checked on the whole sets.  With more texts the blocks have more
+bits, so that few strangers meet, and there are more blocks: at 0.8 about one pair in a
+million meets nowhere (``MISSED``), and far fewer above.
+
+Exact copies are collapsed first.  Then each text is compared with the nearest of the
+first texts at its points, and components are taken of the links found; that settles
+nearly all groups.  Only points whose texts are in different components are looked at
+again.  Where they have few texts all pairs of different components are checked.  Points
+with many texts are put together to crowds, by the component of their first text; those
+in it are the core, the others are stragglers if they are near enough to any other text
+there.  Core and stragglers are dealt into blocks of bounded size, and each pair of
+blocks, one of stragglers at least, is a group that compares all its texts at once by
+matrix products.  So every pair that meets is checked, or known to be in one component.
 
 Words are what stands between ASCII white space, with A-Z lower-cased.  Defined
 results: a text of fewer words than a shingle is one shingle; null and empty texts
@@ -26,9 +31,12 @@ are copies; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from math import ceil, log, log1p
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _store, _text
@@ -36,15 +44,19 @@ from .simhash_dedup import components
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 4
-#: Texts under one key above which it belongs to a crowd.
+#: Bits of a block that may have any value.
+WILD = 3
+#: The chance that a pair of just ``SIMILARITY`` meets in no block.
+MISSED = 1e-6
+#: Bits by which candidates are compared, and how many may differ: 6 standard deviations over the mean at ``SIMILARITY``.
+CHECK_BITS, CHECK_DISTANCE = 128, 44
+#: Numbers that a text's shingles are summed into, of which each bit of the fingerprint is a weighted sum.
+SKETCH = 1024
+#: Texts at one point above which it belongs to a crowd.
 PAIRS_UP_TO = 16
 #: Texts and shingles of one block of a crowd, about.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1000, 1_000_000
 
-_SEEDS = np.random.default_rng(20240517).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
-
-
 def shingles(data: np.ndarray, offsets: np.ndarray, shingle_words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """For a window of texts: hashes of all shingles, and where each text's begin; a shingle may repeat."""
     data = _text.lower(data)
@@ -62,37 +74,75 @@ def shingles(data: np.ndarray, offsets: np.ndarray, shingle_words: int = SHINGLE
     return out, begin
 
 
-def band_keys(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """(texts, BANDS) keys; all zero for a text without words."""
-    n = np.diff(begin)
-    keys, full = np.zeros((len(n), BANDS), dtype=np.uint64), np.flatnonzero(n)
-    if len(full):
-        at = begin[:-1][full]
-        for band in range(BANDS):
-            key = np.full(len(full), band + 1, dtype=np.uint64)
-            for row in range(band * ROWS, (band + 1) * ROWS):
-                low = np.minimum.reduceat((hashes ^ _SEEDS[0, row]) * (_SEEDS[1, row] | np.uint64(1)), at)
-                key = _text.mix(key * np.uint64(0x9E3779B97F4A7C15) + low)
-            keys[full, band] = key
-    return keys
+def shape(n_texts: int) -> tuple[int, int]:
+    """Blocks and bits of a block for so many texts: strangers that meet at a point number about a quarter of its texts at most."""
+    bits = min(32, max(16, n_texts.bit_length() + 5))
+    # The chance to meet in one block at SIMILARITY, from 100,000 simulated pairs: 0.375, 0.240, 0.149 and 0.087 for 20, 24, 28 and 32 bits.
+    meet = 0.37 * 0.886 ** (bits - 20)
+    return ceil(log(MISSED) / log1p(-meet)), bits
+
+
+@lru_cache(maxsize=2)
+def _weights(n_bits: int) -> np.ndarray:
+    """Whole numbers, so that sums are exact in any order."""
+    normal = np.random.default_rng(20240517).standard_normal((SKETCH, n_bits), dtype=np.float32)
+    return np.clip(np.rint(16 * normal), -64, 64)
+
+
+def fingerprints(hashes: np.ndarray, begin: np.ndarray, blocks: int, bits: int) -> np.ndarray:
+    """A row a text: ``CHECK_BITS`` / 64 longs to compare, then a long a block: its bits with the wild ones as 0, and from bit 32 on 5 bits for each wild bit's place."""
+    m = len(begin) - 1
+    out = np.zeros((m, CHECK_BITS // 64 + blocks), dtype=np.int64)
+    weights = _weights(blocks * bits + CHECK_BITS)
+    for lo in range(0, m, 512):
+        n = min(512, m - lo)
+        owner = np.repeat(np.arange(n, dtype=np.uint64), np.diff(begin[lo : lo + n + 1]))
+        distinct = np.unique(owner << np.uint64(44) | hashes[begin[lo] : begin[lo + n]] >> np.uint64(20))
+        at = (distinct >> np.uint64(44)).astype(np.int64) * SKETCH + (distinct & np.uint64(SKETCH - 1)).astype(np.int64)
+        sketch = np.bincount(at, np.where(distinct & np.uint64(SKETCH), 1.0, -1.0), n * SKETCH).reshape(n, SKETCH)
+        sums = sketch.astype(np.float32) @ weights
+        out[lo : lo + n, : CHECK_BITS // 64] = np.packbits(sums[:, :CHECK_BITS] > 0, axis=1, bitorder="little").view("<i8")
+        parts = sums[:, CHECK_BITS:].reshape(n, blocks, bits)
+        wild = np.argpartition(np.abs(parts), WILD - 1, axis=2)[:, :, :WILD].astype(np.int64)
+        value = (parts > 0) @ (np.int64(1) << np.arange(bits))
+        value &= ~(np.int64(1) << wild).sum(axis=2)
+        out[lo : lo + n, CHECK_BITS // 64 :] = value | (wild << (32 + 5 * np.arange(WILD))).sum(axis=2)
+    return out
 
 
-def signature(text: Column | str) -> Column:
-    """Of a text: a 128-bit digest of its words, and its band keys."""
+def signature(text: Column | str, blocks: int, bits: int) -> Column:
+    """Of a text: a 128-bit digest of its words, and its fingerprint."""
 
-    @F.arrow_udf("struct<digest: binary, keys: array<long>>")
+    @F.arrow_udf("struct<digest: binary, print: array<long>>")
     def of(column: pa.Array) -> pa.Array:
         from xxhash import xxh3_128_digest
 
         digests = [xxh3_128_digest(b" ".join((t.as_py() or "").encode().lower().split())) for t in column]
-        parts = [band_keys(*shingles(w.data, w.offsets)) for w in _text.windows(column)]
-        flat = np.concatenate(parts).view(np.int64).ravel() if parts else np.zeros(0, dtype=np.int64)
-        keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
-        return pa.StructArray.from_arrays([pa.array(digests, type=pa.binary()), keys], names=["digest", "keys"])
+        wide = CHECK_BITS // 64 + blocks
+        parts = [fingerprints(*shingles(w.data, w.offsets), blocks, bits) for w in _text.windows(column)]
+        flat = np.concatenate(parts).ravel() if parts else np.zeros(0, dtype=np.int64)
+        prints = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, wide, dtype=np.int32)), pa.array(flat))
+        return pa.StructArray.from_arrays([pa.array(digests, type=pa.binary()), prints], names=["digest", "print"])
 
     return of(text)
 
 
+def _points(rows: DataFrame) -> DataFrame:
+    """(row, check, key) for each point of each block of ``rows`` (row, print)."""
+    n_check = CHECK_BITS // 64
+    check = F.struct(*[F.col("print")[i].alias(f"c{i}") for i in range(n_check)])
+    coded = rows.select("row", check.alias("check"), F.posexplode(F.slice("print", n_check + 1, F.size("print") - n_check)).alias("number", "code"))
+    places = [F.shiftrightunsigned("code", 32 + 5 * k).bitwiseAND(F.lit(31)).cast("int") for k in range(WILD)]
+    coded = coded.select("row", "check", (F.shiftleft(F.col("number").cast("long"), 32) + F.col("code").bitwiseAND(F.lit(0xFFFFFFFF))).alias("base"), *[F.call_function("shiftleft", F.lit(1).cast("long"), p).alias(f"w{k}") for k, p in enumerate(places)])
+    corners = [sum((F.col(f"w{k}") for k in range(WILD) if x >> k & 1), F.col("base")) for x in range(1 << WILD)]
+    return coded.select("row", "check", F.explode(F.array(*corners)).alias("key"))
+
+
+def _near(a: str, b: str) -> Column:
+    """Whether two fingerprints are near enough to check the texts."""
+    return sum((F.bit_count(F.col(f"{a}.c{i}").bitwiseXOR(F.col(f"{b}.c{i}"))) for i in range(CHECK_BITS // 64)), F.lit(0)) <= CHECK_DISTANCE
+
+
 def shingle_set(text: Column | str) -> Column:
     """The distinct shingles of a text, sorted."""
 
@@ -186,26 +236,61 @@ def _verified(pairs: DataFrame, sets: DataFrame, n_sets: int, similarity: float)
     return sized.join(first, "a").join(second, "b").where(near).select("a", "b")
 
 
-def classes(rows: DataFrame, texts: DataFrame, *, similarity: float = SIMILARITY, pairs_up_to: int = PAIRS_UP_TO, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(node, root) of the components of ``rows`` (row, keys); ``texts`` (row, text) has their texts."""
-    keyed = rows.select("row", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("low")).where("n > 1")
-    shared = _store.materialize(keyed.join(sizes, "key"), "shared")
-    n_shared = shared.count()
-    wanted = _store.few(shared.select("row").distinct(), n_shared)
-    sets = texts.join(wanted, "row", "left_semi").select("row", shingle_set("text").alias("shingles"))
-    sets = _store.materialize(sets.withColumn("n", F.size("shingles")), "sets")
-    hubs = shared.where("low < row").select(F.col("low").alias("a"), F.col("row").alias("b")).distinct()
-    roots = components(_verified(hubs, sets, n_shared, similarity))
-
-    named = shared.join(roots, shared["row"] == roots["node"], "left").select("key", "row", "n", F.coalesce("root", "row").alias("root"))
-    states = named.groupBy("key").agg(F.min(F.struct("row", "root")).alias("first"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    open_ = _store.materialize(named.join(states.where("lo <> hi").select("key", "first"), "key"), "open", narrow=True)
-    few = open_.where(F.col("n") <= pairs_up_to)
-    left, right = few.select("key", F.col("row").alias("a"), F.col("root").alias("r"), F.col("first.row").alias("low")), few.select("key", F.col("row").alias("b"), F.col("root").alias("s"))
-    pairs = left.join(right, "key").where("a < b and r <> s and a <> low").select("a", "b").distinct()
-    many = open_.where(F.col("n") > pairs_up_to).select(F.col("first.root").alias("crowd"), "row", (F.col("root") == F.col("first.root")).alias("core")).distinct()
-    more = _verified(pairs, sets, n_shared, similarity).union(_crowd_links(many.join(sets.drop("n"), "row"), open_.count(), similarity, block_texts, block_shingles))
+def _sets(texts: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
+    """(row, shingles, n) of the texts in ``wanted``."""
+    sets = texts.join(_store.few(wanted, n_wanted), "row", "left_semi").select("row", shingle_set("text").alias("shingles"))
+    return _store.materialize(sets.withColumn("n", F.size("shingles")), "sets")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("row"))
+
+
+def classes(rows: DataFrame, texts: DataFrame, n_rows: int, *, similarity: float = SIMILARITY, pairs_up_to: int = PAIRS_UP_TO, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(node, root) of the components of ``rows`` (row, print), at most ``n_rows``; ``texts`` (row, text) has their texts."""
+    at_point = Window.partitionBy("key")
+    met = _points(rows).withColumns({"n": F.count("*").over(at_point), "first": F.min(F.struct("row", "check")).over(at_point)})
+    met = met.withColumn("hub", (F.col("row") > F.col("first.row")) & _near("check", "first.check"))
+    # Where only two meet and aren't near, nothing is left to do.
+    shared = _store.materialize(met.where("n > 2 or hub").select("key", "row", "check", "n", "hub", F.col("first.row").alias("low")), "shared")
+    hubs = _store.materialize(shared.where("hub").groupBy(F.col("low").alias("a"), F.col("row").alias("b")).agg(F.count("*").alias("met")), "hubs", narrow=True)
+    # Those that meet most often are nearest.
+    best = hubs.groupBy("b").agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("a")).select("a", "b")
+    sets = _sets(texts, _ends(best).distinct(), n_rows)
+    roots = components(_verified(best, sets, n_rows, similarity))
+
+    known = _store.few(roots, n_rows)
+    # Again by the point alone: where all texts are in one component, or two have been checked, nothing is left.
+    named = shared.where("n > 2").join(known, F.col("row") == F.col("node"), "left").select("key", "row", "check", "n", F.coalesce("root", "row").alias("root"))
+    states = named.withColumns({"first": F.min(F.struct("row", "root")).over(at_point), "lo": F.min("root").over(at_point), "hi": F.max("root").over(at_point)})
+    open_ = _store.materialize(states.where("lo <> hi").select("key", "row", "check", "n", "root", F.col("first.root").alias("crowd")), "open", narrow=True)
+    few, many = open_.where(F.col("n") <= pairs_up_to), open_.where(F.col("n") > pairs_up_to)
+    left, right = few.select("key", F.col("row").alias("a"), F.col("root").alias("r"), F.col("check").alias("x")), few.select("key", F.col("row").alias("b"), F.col("root").alias("s"), F.col("check").alias("y"))
+    pairs = left.join(right, "key").where("a < b and r <> s").where(_near("x", "y")).select("a", "b")
+    r, s = known.select(F.col("node").alias("a"), F.col("root").alias("r")), known.select(F.col("node").alias("b"), F.col("root").alias("s"))
+    apart = hubs.join(r, "a", "left").join(s, "b", "left").where(F.coalesce("r", "a") != F.coalesce("s", "b")).select("a", "b")
+    pairs = _store.materialize(pairs.union(apart).distinct().join(best, ["a", "b"], "left_anti"), "pairs", narrow=True)
+
+    # Strangers meet a crowd once or twice; they are stragglers only if they are near to a text there.
+    strays = many.where("root <> crowd")
+    often = F.col("times") > 2
+    times = strays.groupBy("crowd", "row").agg(F.count("*").alias("times"))
+    rare = strays.join(times.where(~often), ["crowd", "row"]).select("key", "crowd", "row", F.col("check").alias("x"), F.col("root").alias("r"))
+    beside = rare.join(many.select("key", F.col("check").alias("y"), F.col("root").alias("s")), "key").where("r <> s").where(_near("x", "y"))
+    outer = times.where(often).select("crowd", "row").union(beside.select("crowd", "row").distinct())
+    outer = _store.materialize(outer, "outer", narrow=True)
+    links = []
+    if outer.limit(1).count():
+        there = strays.join(outer, ["crowd", "row"], "left_semi").select("key").distinct()
+        core = many.where("root = crowd").join(there, "key", "left_semi").select("crowd", "row", F.lit(True).alias("core")).distinct()
+        members = _store.materialize(core.union(outer.withColumn("core", F.lit(False))), "members", narrow=True)
+        wanted = _store.materialize(members.select("row").distinct(), "wanted", narrow=True)
+        links.append(_crowd_links(members.join(_sets(texts, wanted, n_rows).drop("n"), "row"), n_rows, similarity, block_texts, block_shingles))
+    if pairs.limit(1).count():
+        links.append(_verified(pairs, _sets(texts, _ends(pairs).distinct(), n_rows), n_rows, similarity))
+    if not links:
+        return roots
+    more = links[0] if len(links) == 1 else links[0].union(links[1])
     more = _store.materialize(more, "links", narrow=True)
     if more.limit(1).count() == 0:
         return roots
@@ -215,14 +300,15 @@ def classes(rows: DataFrame, texts: DataFrame, *, similarity: float = SIMILARITY
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each component: the one with its smallest id (a null id counts as the largest)."""
     row, sig = _store.free_name(docs, "__row"), _store.free_name(docs, "__sig")
-    staged = _store.materialize(docs.withColumns({row: F.monotonically_increasing_id(), sig: signature(F.col(f"`{text_col}`"))}), "numbered")
+    n_rows = docs.count()
+    staged = _store.materialize(docs.withColumns({row: F.monotonically_increasing_id(), sig: signature(F.col(f"`{text_col}`"), *shape(n_rows))}), "numbered")
     order = F.struct(F.col(f"`{id_col}`").isNull().alias("last"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(row).alias("row"))
     distinct = _store.materialize(staged.groupBy(F.col(f"{sig}.digest").alias("digest")).agg(F.min(order).alias("first")).select("first"), "distinct", narrow=True)
     chosen = distinct.select(F.col("first.row").alias("row"))
-    rows = staged.select(F.col(row).alias("row"), F.col(f"{sig}.keys").alias("keys")).join(chosen, "row", "left_semi")
+    rows = staged.select(F.col(row).alias("row"), F.col(f"{sig}.print").alias("print")).join(chosen, "row", "left_semi")
     texts = staged.select(F.col(row).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    roots = classes(rows, texts, **options)
+    roots = classes(rows, texts, n_rows, **options)
     named = distinct.join(roots, F.col("first.row") == F.col("node"), "left").select("first", F.coalesce("root", "first.row").alias("root"))
     kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
-    dropped = _store.few(staged.select(row).join(kept, row, "left_anti"), staged.count())
+    dropped = _store.few(staged.select(row).join(kept, row, "left_anti"), n_rows)
     return staged.join(dropped, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

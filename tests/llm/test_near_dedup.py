@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from fraglake.llm import near_dedup
+from fraglake.llm import _text, near_dedup
 
 
 def shingles(text):
@@ -81,3 +83,40 @@ def test_rows_of_all_kinds(spark):
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 5, 7]
     assert near_dedup.keep_one(docs.limit(0)).collect() == []
+
+
+def prints_of(texts, blocks, bits):
+    return np.concatenate([near_dedup.fingerprints(*near_dedup.shingles(w.data, w.offsets), blocks, bits) for w in _text.windows(pa.array(texts))])
+
+
+def test_candidates_are_those_whose_simhash_blocks_agree_outside_the_wild_bits(spark):
+    rows = corpus(3, 20)
+    blocks, bits = near_dedup.shape(len(rows))
+    prints = prints_of([t for _, t in rows], blocks, bits)
+    value = prints[:, near_dedup.CHECK_BITS // 64 :] & 0xFFFFFFFF
+    wild = sum(1 << (prints[:, near_dedup.CHECK_BITS // 64 :] >> (32 + 5 * k) & 31) for k in range(near_dedup.WILD))
+    points = near_dedup._points(spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(prints)], "row long, print array<long>"))
+    met = {}
+    for r in points.collect():
+        met.setdefault(r["key"], []).append(r["row"])
+    met = {(a, b, key >> 32) for key, found in met.items() for a in found for b in found if a < b}
+    agree = ((value[:, None] ^ value[None]) & ~(wild[:, None] | wild[None])) == 0
+    assert met == {(a, b, k) for a, b, k in zip(*(x.tolist() for x in np.nonzero(agree)), strict=True) if a < b}
+
+
+def test_pairs_of_just_four_fifths_meet_as_often_as_said_and_are_near():
+    rng = random.Random(5)
+    texts = []
+    for _ in range(300):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(184)]
+        texts += [" ".join(words), " ".join(words[20:] + [f"v{rng.randrange(10**9)}" for _ in range(20)])]  # 160 of 200 shingles
+    for bits in (16, 23, 30):
+        prints = prints_of(texts, 40, bits)
+        a, b = prints[::2], prints[1::2]
+        assert (np.bitwise_count((a[:, :2] ^ b[:, :2]).view(np.uint64)).sum(axis=1) <= near_dedup.CHECK_DISTANCE).all()
+        places = lambda x: sum(1 << (x[:, 2:] >> (32 + 5 * k) & 31) for k in range(3))
+        meet = ((((a ^ b)[:, 2:] & 0xFFFFFFFF) & ~(places(a) | places(b))) == 0).mean()
+        assert meet >= 0.37 * 0.886 ** (bits - 20) * 0.9
+        # Strangers: each text against the pair after it.
+        far = np.bitwise_count((a[1:, :2] ^ b[:-1, :2]).view(np.uint64)).sum(axis=1)
+        assert (far > near_dedup.CHECK_DISTANCE).mean() > 0.98
