@@ -22,36 +22,42 @@ from fraglake.llm import _store, decontaminate, near_dedup, packing, quality, to
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _begin(spark: SparkSession) -> None:
+    """Bounded batches, and nothing held of the stages before."""
+    _store.use_small_batches(spark)
+    _store.release(spark)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic."""
-    _store.use_small_batches(spark)
+    _begin(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.clean(docs, toxicity.train(docs, labels)).select(*COLUMNS)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the risk-controlled rules of their language."""
-    _store.use_small_batches(spark)
+    _begin(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep(docs, labels).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: SimHash blocks of five-word shingles, checked for a Jaccard similarity of at least 0.8."""
-    _store.use_small_batches(spark)
+    _begin(spark)
     return near_dedup.keep_one(docs).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item."""
-    _store.use_small_batches(spark)
+    _begin(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.without_leaks(docs, benchmark).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, in sequences of at most 1024 tokens."""
-    _store.use_small_batches(spark)
+    _begin(spark)
     return packing.pack(docs)
 
 

@@ -9,8 +9,11 @@ results aren't read any more.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,13 +47,33 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def _freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves no shuffle files, on disk or in the driver's tables; nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str, compression: str = "zstd", narrow: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a scan of it; narrow tables in an eighth as many files as there are shuffle partitions."""
-    path = fresh_path(df.sparkSession, name)
-    if narrow:
-        df = df.coalesce(-(-shuffle_partitions(df.sparkSession) // 8))
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialize_parts([df], name, compression, narrow)
+
+
+def materialize_parts(parts: list[DataFrame], name: str, compression: str = "zstd", narrow: bool = False) -> DataFrame:
+    """Write tables of the same columns one after another, so that only one is shuffled at a time, and return a scan of all."""
+    spark = parts[0].sparkSession
+    path = fresh_path(spark, name)
+    for df in parts:
+        if narrow:
+            df = df.coalesce(-(-shuffle_partitions(spark) // 8))
+        with _freed_shuffles(spark):
+            df.write.mode("append").option("compression", compression).parquet(path)
+    return spark.read.schema(parts[0].schema).parquet(path)
 
 
 def stable(df: DataFrame, name: str) -> DataFrame:
@@ -70,6 +93,12 @@ def few(df: DataFrame, bound: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def release(spark: SparkSession) -> None:
+    """Collect what isn't referred to any more, on the driver: its memory is given back, and Spark drops broadcasts only once their handles are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete all that this process has written to the shared folder; tables read from there can't be read any more."""
     while _written:

@@ -52,6 +52,8 @@ MISSED = 1e-6
 CHECK_BITS, CHECK_DISTANCE = 128, 44
 #: Numbers that a text's shingles are summed into, of which each bit of the fingerprint is a weighted sum.
 SKETCH = 1024
+#: Blocks whose points are shuffled at a time, to bound the disk that they take.
+BLOCKS_AT_ONCE = 16
 #: Texts at one point above which it belongs to a crowd.
 PAIRS_UP_TO = 16
 #: Texts and shingles of one block of a crowd, about.
@@ -127,13 +129,13 @@ def signature(text: Column | str, blocks: int, bits: int) -> Column:
     return of(text)
 
 
-def _points(rows: DataFrame) -> DataFrame:
-    """(row, check, key) for each point of each block of ``rows`` (row, print)."""
+def _points(rows: DataFrame, first: int = 0, most: int = 1 << 20) -> DataFrame:
+    """(row, check, key) for each point of ``most`` blocks of ``rows`` (row, print), from block ``first`` on."""
     n_check = CHECK_BITS // 64
     check = F.struct(*[F.col("print")[i].alias(f"c{i}") for i in range(n_check)])
-    coded = rows.select("row", check.alias("check"), F.posexplode(F.slice("print", n_check + 1, F.size("print") - n_check)).alias("number", "code"))
+    coded = rows.select("row", check.alias("check"), F.posexplode(F.slice("print", n_check + first + 1, most)).alias("number", "code"))
     places = [F.shiftrightunsigned("code", 32 + 5 * k).bitwiseAND(F.lit(31)).cast("int") for k in range(WILD)]
-    coded = coded.select("row", "check", (F.shiftleft(F.col("number").cast("long"), 32) + F.col("code").bitwiseAND(F.lit(0xFFFFFFFF))).alias("base"), *[F.call_function("shiftleft", F.lit(1).cast("long"), p).alias(f"w{k}") for k, p in enumerate(places)])
+    coded = coded.select("row", "check", (F.shiftleft((F.col("number") + first).cast("long"), 32) + F.col("code").bitwiseAND(F.lit(0xFFFFFFFF))).alias("base"), *[F.call_function("shiftleft", F.lit(1).cast("long"), p).alias(f"w{k}") for k, p in enumerate(places)])
     corners = [sum((F.col(f"w{k}") for k in range(WILD) if x >> k & 1), F.col("base")) for x in range(1 << WILD)]
     return coded.select("row", "check", F.explode(F.array(*corners)).alias("key"))
 
@@ -249,10 +251,15 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def classes(rows: DataFrame, texts: DataFrame, n_rows: int, *, similarity: float = SIMILARITY, pairs_up_to: int = PAIRS_UP_TO, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(node, root) of the components of ``rows`` (row, print), at most ``n_rows``; ``texts`` (row, text) has their texts."""
     at_point = Window.partitionBy("key")
-    met = _points(rows).withColumns({"n": F.count("*").over(at_point), "first": F.min(F.struct("row", "check")).over(at_point)})
-    met = met.withColumn("hub", (F.col("row") > F.col("first.row")) & _near("check", "first.check"))
-    # Where only two meet and aren't near, nothing is left to do.
-    shared = _store.materialize(met.where("n > 2 or hub").select("key", "row", "check", "n", "hub", F.col("first.row").alias("low")), "shared")
+    rows = _store.materialize(rows, "prints", narrow=True)
+
+    def met(first: int) -> DataFrame:
+        points = _points(rows, first, BLOCKS_AT_ONCE).withColumns({"n": F.count("*").over(at_point), "first": F.min(F.struct("row", "check")).over(at_point)})
+        points = points.withColumn("hub", (F.col("row") > F.col("first.row")) & _near("check", "first.check"))
+        # Where only two meet and aren't near, nothing is left to do.
+        return points.where("n > 2 or hub").select("key", "row", "check", "n", "hub", F.col("first.row").alias("low"))
+
+    shared = _store.materialize_parts([met(first) for first in range(0, shape(n_rows)[0], BLOCKS_AT_ONCE)], "shared", narrow=True)
     hubs = _store.materialize(shared.where("hub").groupBy(F.col("low").alias("a"), F.col("row").alias("b")).agg(F.count("*").alias("met")), "hubs", narrow=True)
     # Those that meet most often are nearest.
     best = hubs.groupBy("b").agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("a")).select("a", "b")

@@ -3,9 +3,10 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fraglake.llm import _text, near_dedup
+from fraglake.llm import _store, _text, near_dedup
 
 
 def shingles(text):
@@ -120,3 +121,19 @@ def test_pairs_of_just_four_fifths_meet_as_often_as_said_and_are_near():
         # Strangers: each text against the pair after it.
         far = np.bitwise_count((a[1:, :2] ^ b[:-1, :2]).view(np.uint64)).sum(axis=1)
         assert (far > near_dedup.CHECK_DISTANCE).mean() > 0.98
+
+
+def test_blocks_in_several_rounds_leave_the_same(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCKS_AT_ONCE", 5)
+    rows = corpus(4, 20)
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == expected(rows)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    out = _store.materialize(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 77).alias("k")).count(), "test")
+    assert len(out.collect()) == 77
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert tracker.shuffleStatuses().size() <= before
