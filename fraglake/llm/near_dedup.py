@@ -13,15 +13,16 @@ left out; the rest are checked on the whole sets.  With more texts the blocks ha
 bits, so that few strangers meet, and there are more blocks: at 0.8 about one pair in a
 million meets nowhere (``MISSED``), and far fewer above.
 
-Exact copies are collapsed first.  Then each text is compared with the nearest of the
-first texts at its points, and components are taken of the links found; that settles
-nearly all groups.  Only points whose texts are in different components are looked at
-again.  Where they have few texts all pairs of different components are checked.  Points
-with many texts are put together to crowds, by the component of their first text; those
-in it are the core, the others are stragglers if they are near enough to any other text
-there.  Core and stragglers are dealt into blocks of bounded size, and each pair of
-blocks, one of stragglers at least, is a group that compares all its texts at once by
-matrix products.  So every pair that meets is checked, or known to be in one component.
+Exact copies are collapsed first.  A text goes to the parts of a block that its points
+are in, once for all of them, and each part is searched for itself: of the pairs there
+that meet and are near, as many are linked as hold their texts together.  Components of
+these links are groups: every pair that meets and is near is in one group.  In a group
+of at most ``BLOCK_TEXTS`` texts all pairs are checked at once by matrix products.  In
+a larger one each text is first checked against the nearest one that it is linked to;
+the largest component that this leaves is the core, the others are stragglers.  Core and
+stragglers are dealt into blocks of bounded size, and each pair of blocks, one of
+stragglers at least, compares all its texts.  So every pair that meets and is near is
+checked, or known to be in one component; no pairs are joined but one a text.
 
 Words are what stands between ASCII white space, with A-Z lower-cased.  Defined
 results: a text of fewer words than a shingle is one shingle; null and empty texts
@@ -31,12 +32,13 @@ are copies; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _store, _text
@@ -54,9 +56,11 @@ CHECK_BITS, CHECK_DISTANCE = 128, 44
 SKETCH = 1024
 #: Blocks whose points are shuffled at a time, to bound the disk that they take.
 BLOCKS_AT_ONCE = 16
-#: Texts at one point above which it belongs to a crowd.
+#: Texts of one part of a block, about, and texts that are dealt to the parts at a time.
+PART_TEXTS, DEAL_TEXTS = 1 << 17, 1 << 14
+#: Texts at one point up to which all pairs are compared; above it, only those that aren't linked yet.
 PAIRS_UP_TO = 16
-#: Texts and shingles of one block of a crowd, about.
+#: Texts and shingles up to which all pairs of a group are checked at once, and of one block of a larger one, about.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1000, 1_000_000
 
 def shingles(data: np.ndarray, offsets: np.ndarray, shingle_words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -129,20 +133,152 @@ def signature(text: Column | str, blocks: int, bits: int) -> Column:
     return of(text)
 
 
-def _points(rows: DataFrame, first: int = 0, most: int = 1 << 20) -> DataFrame:
-    """(row, check, key) for each point of ``most`` blocks of ``rows`` (row, print), from block ``first`` on."""
-    n_check = CHECK_BITS // 64
-    check = F.struct(*[F.col("print")[i].alias(f"c{i}") for i in range(n_check)])
-    coded = rows.select("row", check.alias("check"), F.posexplode(F.slice("print", n_check + first + 1, most)).alias("number", "code"))
-    places = [F.shiftrightunsigned("code", 32 + 5 * k).bitwiseAND(F.lit(31)).cast("int") for k in range(WILD)]
-    coded = coded.select("row", "check", (F.shiftleft((F.col("number") + first).cast("long"), 32) + F.col("code").bitwiseAND(F.lit(0xFFFFFFFF))).alias("base"), *[F.call_function("shiftleft", F.lit(1).cast("long"), p).alias(f"w{k}") for k, p in enumerate(places)])
-    corners = [sum((F.col(f"w{k}") for k in range(WILD) if x >> k & 1), F.col("base")) for x in range(1 << WILD)]
-    return coded.select("row", "check", F.explode(F.array(*corners)).alias("key"))
+def _wild_bits(code: np.ndarray) -> list[np.ndarray]:
+    return [np.int64(1) << (code >> (32 + 5 * k) & 31) for k in range(WILD)]
+
+
+def _corners(code: np.ndarray) -> np.ndarray:
+    """The 2^WILD values that each code stands for, a row a code."""
+    base, wild = code & 0xFFFFFFFF, _wild_bits(code)
+    return np.stack([base + sum(wild[k] for k in range(WILD) if x >> k & 1) for x in range(1 << WILD)], axis=1)
+
+
+def _dealt(rows: DataFrame, first: int, most: int, parts: int) -> DataFrame:
+    """``rows`` (row, print) dealt to the parts of ``most`` blocks from ``first`` on: (number, part, entries), of longs: all rows, their bits to compare, word by word, and their codes.
 
+    A part has the points with the same lowest bits; ``parts`` is a power of two.
+    """
+    n_check = CHECK_BITS // 64
 
-def _near(a: str, b: str) -> Column:
-    """Whether two fingerprints are near enough to check the texts."""
-    return sum((F.bit_count(F.col(f"{a}.c{i}").bitwiseXOR(F.col(f"{b}.c{i}"))) for i in range(CHECK_BITS // 64)), F.lit(0)) <= CHECK_DISTANCE
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        row, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+        numbers, places, entries = [], [], []
+        for number in range(first, min(first + most, prints.shape[1] - n_check)):
+            code = prints[:, n_check + number]
+            fixed = ~sum(_wild_bits(code)) & (parts - 1)
+            for part in range(parts):
+                at = np.flatnonzero((code ^ part) & fixed == 0)
+                if len(at):
+                    numbers.append(number)
+                    places.append(part)
+                    entries.append(np.concatenate([row[at], *prints[at, :n_check].T, code[at]]).tobytes())
+        return pa.record_batch([pa.array(numbers, pa.int32()), pa.array(places, pa.int32()), pa.array(entries, pa.binary())], ["number", "part", "entries"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch["row"].to_numpy(), batch["print"].flatten().to_numpy().reshape(batch.num_rows, -1)))
+                n += batch.num_rows
+            if n >= DEAL_TEXTS:
+                yield packed(held)
+                held, n = [], 0
+        if held:
+            yield packed(held)
+
+    return rows.select("row", "print").mapInArrow(deal, "number int, part int, entries binary")
+
+
+def _entries(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, bits to compare and codes of one part, by row."""
+    wide = CHECK_BITS // 64 + 2
+    all_ = np.concatenate([np.frombuffer(x.as_py(), dtype=np.int64).reshape(wide, -1) for x in column], axis=1)
+    all_ = all_[:, np.argsort(all_[0])]
+    return all_[0], all_[1:-1].T.copy().view(np.uint64), all_[-1]
+
+
+def _points(rows: DataFrame, first: int = 0, most: int = 1 << 20, parts: int = 1) -> DataFrame:
+    """(row, key) for each point of ``most`` blocks of ``rows`` (row, print), from block ``first`` on, one by one."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, part, entries in zip(*(batch[k] for k in ("number", "part", "entries")), strict=True):
+                row, _, code = _entries([entries])
+                keys = _corners(code)
+                here = keys & (parts - 1) == part.as_py()
+                yield pa.record_batch([pa.array(np.repeat(row, here.sum(axis=1))), pa.array(keys[here] | number.as_py() << 32)], ["row", "key"])
+
+    return _dealt(rows, first, most, parts).mapInArrow(listed, "row long, key long")
+
+
+def _meetings(check: np.ndarray, code: np.ndarray, part: int, parts: int, pairs_up_to: int) -> np.ndarray:
+    """Links (i, j, bits that differ), i < j, between texts of one part that meet and are near: any two such texts are held together by them, with at most two links a text."""
+    m = len(code)
+    keys = _corners(code).astype(np.uint64)
+    points = (keys << np.uint64(32) | np.arange(m, dtype=np.uint64)[:, None])[keys & np.uint64(parts - 1) == part]
+    points.sort()
+    begin = np.flatnonzero(np.concatenate([[True], points[1:] >> np.uint64(32) != points[:-1] >> np.uint64(32)])) if len(points) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([begin, [len(points)]]))
+    text = (points & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    parent, links = np.arange(m), []
+
+    def root(x: np.ndarray) -> np.ndarray:
+        up = parent[x]
+        while (parent[up] != up).any():
+            up = parent[up]
+        parent[x] = up
+        return up
+
+    def differ(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(check[i] ^ check[j]).sum(axis=-1, dtype=np.int64)
+
+    def connect(i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> None:
+        """Keep one link a component to a lower one until none is left, those of few bits first."""
+        order = np.argsort(bits, kind="stable")
+        i, j, bits = i[order], j[order], bits[order]
+        while len(i):
+            r, s = root(i), root(j)
+            apart = r != s
+            i, j, bits, r, s = (x[apart] for x in (i, j, bits, r, s))
+            high, at = np.unique(np.maximum(r, s), return_index=True)
+            parent[high] = np.minimum(r, s)[at]
+            links.append(np.stack([i[at], j[at], bits[at]], axis=1))
+
+    # Points of few texts: all pairs.
+    few = (size > 1) & (size <= pairs_up_to)
+    own = np.repeat(np.flatnonzero(few), size[few])
+    at = np.arange(len(own)) - np.repeat(np.cumsum(size[few]) - size[few], size[few]) + begin[own]
+    members, pairs = text[at], []
+    for step in range(1, int(size[few].max(initial=1))):
+        same = np.flatnonzero(own[:-step] == own[step:])
+        i, j = members[same], members[same + step]
+        bits = differ(i, j)
+        near = bits <= CHECK_DISTANCE
+        pairs.append((i[near], j[near], bits[near]))
+    if pairs:
+        i, j, bits = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        order = np.lexsort((i, bits, j))
+        i, j, bits = i[order], j[order], bits[order]
+        # Each text's nearest one before it, then what else holds components together.
+        _, nearest = np.unique(j, return_index=True)
+        parent[j[nearest]] = i[nearest]
+        links.append(np.stack([i[nearest], j[nearest], bits[nearest]], axis=1))
+        connect(i, j, bits)
+    # Points of many: the first against all, then those that it isn't linked to against all.
+    for k in np.flatnonzero(size > pairs_up_to):
+        members = text[begin[k] : begin[k] + size[k]]
+        others = members[root(members) != root(members[:1])]
+        bits = differ(np.broadcast_to(members[:1], others.shape), others)
+        near = bits <= CHECK_DISTANCE
+        connect(np.full(near.sum(), members[0]), others[near], bits[near])
+        others = members[root(members) != root(members[:1])]
+        for lo in range(0, len(others), width := max(1, (1 << 20) // len(members))):
+            some = others[lo : lo + width]
+            bits = differ(some[:, None], members[None])
+            x, y = np.nonzero((bits <= CHECK_DISTANCE) & (root(some)[:, None] != root(members)[None]))
+            connect(np.minimum(some[x], members[y]), np.maximum(some[x], members[y]), bits[x, y])
+    return np.concatenate(links) if links else np.zeros((0, 3), dtype=np.int64)
+
+
+def _met(rows: DataFrame, first: int, parts: int, pairs_up_to: int) -> DataFrame:
+    """Links (a, b, differ) of ``BLOCKS_AT_ONCE`` blocks from ``first`` on."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        row, check, code = _entries(table["entries"])
+        found = _meetings(check, code, table["part"][0].as_py(), parts, pairs_up_to)
+        return pa.table({"a": row[found[:, 0]], "b": row[found[:, 1]], "differ": found[:, 2].astype(np.int32)})
+
+    return _dealt(rows, first, BLOCKS_AT_ONCE, parts).groupBy("number", "part").applyInArrow(meet, "a long, b long, differ int")
 
 
 def shingle_set(text: Column | str) -> Column:
@@ -201,6 +337,29 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _linked(table: pa.Table, similarity: float) -> pa.Table:
+    """(a, b) that hold the texts of ``table`` (row, shingles) together, by comparing all its pairs."""
+    rows, lists = table["row"].to_numpy(), table["shingles"].combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    values = lists.flatten().to_numpy()
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    found = np.array(_forest(_similar(values, ends, similarity)), dtype=np.int64).reshape(-1, 2)
+    return pa.table({"a": rows[found[:, 0]], "b": rows[found[:, 1]]})
+
+
+def _group_links(members: DataFrame, bins: int, similarity: float) -> DataFrame:
+    """Links in each group; ``members`` has crowd, row and the set, and several groups are compared in one bin."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("crowd", "ascending"), ("row", "ascending")])
+        crowds = table["crowd"].to_numpy()
+        begin = np.flatnonzero(np.concatenate([[True], crowds[1:] != crowds[:-1]]))
+        return pa.concat_tables([_linked(table.slice(a, b - a), similarity) for a, b in zip(begin, [*begin[1:], len(crowds)], strict=True)])
+
+    return members.groupBy(F.pmod(F.xxhash64("crowd"), F.lit(bins)).alias("bin")).applyInArrow(compare, "a long, b long")
+
+
 def _crowd_links(members: DataFrame, n_members: int, similarity: float, block_texts: int, block_shingles: int) -> DataFrame:
     """Links of stragglers, among themselves and to the core; ``members`` has crowd, row, core and the set."""
     blocks = F.greatest(F.ceil(F.count("*") / block_texts), F.ceil(F.sum(F.size("shingles")) / block_shingles), F.lit(1)).cast("int")
@@ -214,17 +373,7 @@ def _crowd_links(members: DataFrame, n_members: int, similarity: float, block_te
     pairs = placed.select("crowd", "row", "shingles", own.alias("b"), F.explode(others).alias("o"))
     grouped = pairs.select("crowd", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "row", "shingles").groupBy("crowd", "i", "j")
 
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by("row")
-        rows, lists = table["row"].to_numpy(), table["shingles"].combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists = pa.concat_arrays(lists.chunks)
-        values = lists.flatten().to_numpy()
-        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-        found = np.array(_forest(_similar(values, ends, similarity)), dtype=np.int64).reshape(-1, 2)
-        return pa.table({"a": rows[found[:, 0]], "b": rows[found[:, 1]]})
-
-    return grouped.applyInArrow(compare, "a long, b long")
+    return grouped.applyInArrow(lambda table: _linked(table.sort_by("row"), similarity), "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, n_sets: int, similarity: float) -> DataFrame:
@@ -244,64 +393,30 @@ def _sets(texts: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
     return _store.materialize(sets.withColumn("n", F.size("shingles")), "sets")
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("row"))
-
-
-def classes(rows: DataFrame, texts: DataFrame, n_rows: int, *, similarity: float = SIMILARITY, pairs_up_to: int = PAIRS_UP_TO, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def classes(rows: DataFrame, texts: DataFrame, n_rows: int, *, similarity: float = SIMILARITY, pairs_up_to: int = PAIRS_UP_TO, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES, part_texts: int = PART_TEXTS) -> DataFrame:
     """(node, root) of the components of ``rows`` (row, print), at most ``n_rows``; ``texts`` (row, text) has their texts."""
-    at_point = Window.partitionBy("key")
     rows = _store.materialize(rows, "prints", narrow=True)
-
-    def met(first: int) -> DataFrame:
-        points = _points(rows, first, BLOCKS_AT_ONCE).withColumns({"n": F.count("*").over(at_point), "first": F.min(F.struct("row", "check")).over(at_point)})
-        points = points.withColumn("hub", (F.col("row") > F.col("first.row")) & _near("check", "first.check"))
-        # Where only two meet and aren't near, nothing is left to do.
-        return points.where("n > 2 or hub").select("key", "row", "check", "n", "hub", F.col("first.row").alias("low"))
-
-    shared = _store.materialize_parts([met(first) for first in range(0, shape(n_rows)[0], BLOCKS_AT_ONCE)], "shared", narrow=True)
-    hubs = _store.materialize(shared.where("hub").groupBy(F.col("low").alias("a"), F.col("row").alias("b")).agg(F.count("*").alias("met")), "hubs", narrow=True)
-    # Those that meet most often are nearest.
-    best = hubs.groupBy("b").agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("a")).select("a", "b")
-    sets = _sets(texts, _ends(best).distinct(), n_rows)
+    parts = 1 << (max(1, -(-n_rows // part_texts)) - 1).bit_length()
+    met = _store.materialize_parts([_met(rows, first, parts, pairs_up_to) for first in range(0, shape(n_rows)[0], BLOCKS_AT_ONCE)], "met", narrow=True)
+    groups = components(met.select("a", "b"))
+    members = _store.materialize(groups.select(F.col("root").alias("crowd"), F.col("node").alias("row")).union(groups.select("root", "root").distinct()), "members", narrow=True)
+    sets = _sets(texts, members.select("row"), n_rows)
+    sized = members.join(_store.few(sets.select("row", "n"), n_rows), "row")
+    large = sized.groupBy("crowd").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).where((F.col("texts") > block_texts) | (F.col("n") > block_shingles)).select("crowd")
+    large = _store.materialize(large, "large", narrow=True)
+    small = members.join(_store.few(large, n_rows), "crowd", "left_anti")
+    links = _group_links(sets.select("row", "shingles").join(_store.few(small, n_rows), "row"), 4 * _store.shuffle_partitions(rows.sparkSession), similarity)
+    if large.limit(1).count() == 0:
+        return components(links)
+    members = _store.materialize(members.join(_store.few(large, n_rows), "crowd", "left_semi"), "crowds", narrow=True)
+    best = met.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")).join(_store.few(members.select(F.col("row").alias("b")), n_rows), "b", "left_semi").select("a", "b")
     roots = components(_verified(best, sets, n_rows, similarity))
-
-    known = _store.few(roots, n_rows)
-    # Again by the point alone: where all texts are in one component, or two have been checked, nothing is left.
-    named = shared.where("n > 2").join(known, F.col("row") == F.col("node"), "left").select("key", "row", "check", "n", F.coalesce("root", "row").alias("root"))
-    states = named.withColumns({"first": F.min(F.struct("row", "root")).over(at_point), "lo": F.min("root").over(at_point), "hi": F.max("root").over(at_point)})
-    open_ = _store.materialize(states.where("lo <> hi").select("key", "row", "check", "n", "root", F.col("first.root").alias("crowd")), "open", narrow=True)
-    few, many = open_.where(F.col("n") <= pairs_up_to), open_.where(F.col("n") > pairs_up_to)
-    left, right = few.select("key", F.col("row").alias("a"), F.col("root").alias("r"), F.col("check").alias("x")), few.select("key", F.col("row").alias("b"), F.col("root").alias("s"), F.col("check").alias("y"))
-    pairs = left.join(right, "key").where("a < b and r <> s").where(_near("x", "y")).select("a", "b")
-    r, s = known.select(F.col("node").alias("a"), F.col("root").alias("r")), known.select(F.col("node").alias("b"), F.col("root").alias("s"))
-    apart = hubs.join(r, "a", "left").join(s, "b", "left").where(F.coalesce("r", "a") != F.coalesce("s", "b")).select("a", "b")
-    pairs = _store.materialize(pairs.union(apart).distinct().join(best, ["a", "b"], "left_anti"), "pairs", narrow=True)
-
-    # Strangers meet a crowd once or twice; they are stragglers only if they are near to a text there.
-    strays = many.where("root <> crowd")
-    often = F.col("times") > 2
-    times = strays.groupBy("crowd", "row").agg(F.count("*").alias("times"))
-    rare = strays.join(times.where(~often), ["crowd", "row"]).select("key", "crowd", "row", F.col("check").alias("x"), F.col("root").alias("r"))
-    beside = rare.join(many.select("key", F.col("check").alias("y"), F.col("root").alias("s")), "key").where("r <> s").where(_near("x", "y"))
-    outer = times.where(often).select("crowd", "row").union(beside.select("crowd", "row").distinct())
-    outer = _store.materialize(outer, "outer", narrow=True)
-    links = []
-    if outer.limit(1).count():
-        there = strays.join(outer, ["crowd", "row"], "left_semi").select("key").distinct()
-        core = many.where("root = crowd").join(there, "key", "left_semi").select("crowd", "row", F.lit(True).alias("core")).distinct()
-        members = _store.materialize(core.union(outer.withColumn("core", F.lit(False))), "members", narrow=True)
-        wanted = _store.materialize(members.select("row").distinct(), "wanted", narrow=True)
-        links.append(_crowd_links(members.join(_sets(texts, wanted, n_rows).drop("n"), "row"), n_rows, similarity, block_texts, block_shingles))
-    if pairs.limit(1).count():
-        links.append(_verified(pairs, _sets(texts, _ends(pairs).distinct(), n_rows), n_rows, similarity))
-    if not links:
-        return roots
-    more = links[0] if len(links) == 1 else links[0].union(links[1])
-    more = _store.materialize(more, "links", narrow=True)
-    if more.limit(1).count() == 0:
-        return roots
-    return components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
+    named = members.join(_store.few(roots, n_rows), F.col("row") == F.col("node"), "left").select("crowd", "row", F.coalesce("root", "row").alias("root"))
+    core = named.groupBy("crowd", "root").agg(F.count("*").alias("texts")).groupBy("crowd").agg(F.max_by("root", F.struct("texts", -F.col("root"))).alias("core"))
+    placed = named.join(_store.few(core, n_rows), "crowd").select("crowd", "row", (F.col("root") == F.col("core")).alias("core"))
+    placed = _store.materialize(placed, "placed", narrow=True)
+    crowds = _crowd_links(sets.select("row", "shingles").join(_store.few(placed, n_rows), "row"), n_rows, similarity, block_texts, block_shingles)
+    return components(_store.materialize_parts([links, crowds, roots.select(F.col("root").alias("a"), F.col("node").alias("b"))], "linked", narrow=True))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -137,3 +137,64 @@ def test_written_tables_leave_no_shuffle_files(spark):
     assert len(out.collect()) == 77
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
     assert tracker.shuffleStatuses().size() <= before
+
+
+def test_parts_hold_the_points_of_a_block_once_and_few_bytes_a_text(spark):
+    rows = corpus(6, 30)
+    blocks, bits = near_dedup.shape(len(rows))
+    frame = spark.createDataFrame([(k << 33, p.tolist()) for k, p in enumerate(prints_of([t for _, t in rows], blocks, bits))], "row long, print array<long>")
+    points = lambda **x: sorted(tuple(r) for r in near_dedup._points(frame, **x).collect())
+    assert len(points()) == len(rows) * blocks * 8 and points(parts=4) == points() == sorted(points(most=5) + points(first=5))
+    dealt = near_dedup._dealt(frame, 0, blocks, 4).selectExpr("sum(length(entries))").first()[0]
+    assert dealt <= 32 * len(rows) * blocks * 1.5
+
+
+@pytest.mark.parametrize("pairs_up_to", [0, 4, 1000])
+def test_links_hold_together_just_the_texts_that_meet_and_are_near(pairs_up_to):
+    rng = np.random.default_rng(pairs_up_to)
+    centres = rng.integers(0, 1 << 63, (6, 2), dtype=np.uint64)
+    m = 400
+    flips = [sum(1 << int(x) for x in rng.choice(64, rng.integers(2, 16), replace=False)) for _ in range(2 * m)]
+    check = centres[rng.integers(0, 6, m)] ^ np.array(flips, dtype=np.uint64).reshape(m, 2)
+    wild = np.stack([rng.choice(9, 3, replace=False) for _ in range(m)])
+    code = rng.integers(0, 512, m) & ~(1 << wild).sum(axis=1) | (wild << (32 + 5 * np.arange(3))).sum(axis=1)
+    sets = [set(x) for x in near_dedup._corners(code).tolist()]
+    for part in range(2):
+        meet = np.array([[any(v & 1 == part for v in a & b) for b in sets] for a in sets])
+        near = np.bitwise_count(check[:, None] ^ check[None]).sum(axis=2) <= near_dedup.CHECK_DISTANCE
+        links = near_dedup._meetings(check, code, part, 2, pairs_up_to)
+        linked = np.zeros((m, m), dtype=bool)
+        linked[links[:, 0], links[:, 1]] = linked[links[:, 1], links[:, 0]] = True
+        assert 0 < len(links) <= 2 * m and (links[:, 0] < links[:, 1]).all() and not (linked & ~(meet & near)).any()
+        assert sorted(near_dedup._forest(linked)) == sorted(near_dedup._forest(meet & near))
+
+
+def group_below_the_threshold(n):
+    """Texts that share two thirds of one text, at several places: near by their bits, but few pairs are at 0.8."""
+    rng = random.Random(n)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for _ in range(n):
+        at = rng.randrange(160)
+        rows.append([*base[:at], *(f"v{rng.randrange(10**9)}" for _ in range(rng.choice([4, 25]))), *base[at + 30 :]])
+    return [(k, " ".join(x)) for k, x in enumerate(rows)]
+
+
+@pytest.mark.parametrize("options", [{}, {"block_texts": 40}, {"block_texts": 40, "part_texts": 30, "pairs_up_to": 4}])
+def test_a_large_group_is_not_joined_pair_by_pair(spark, monkeypatch, options):
+    rows = group_below_the_threshold(150)
+    seen, verified = [], near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, *rest: seen.append(pairs.count()) or verified(pairs, *rest))
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), **options)
+    assert sorted(r["doc_id"] for r in kept.collect()) == expected(rows)
+    assert sum(seen) <= len(rows)
+
+
+def test_little_is_shuffled_a_text(spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for k in range(3000)]
+    docs = _store.materialize(spark.createDataFrame(rows, "doc_id long, text string"), "test")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    assert near_dedup.keep_one(docs).count() == len(rows)
+    assert written() - before <= 60 * near_dedup.shape(len(rows))[0] * len(rows)
