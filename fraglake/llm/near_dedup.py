@@ -393,12 +393,23 @@ def _sets(texts: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
     return _store.materialize(sets.withColumn("n", F.size("shingles")), "sets")
 
 
+def _joined(roots: DataFrame, links: DataFrame, n_rows: int) -> DataFrame:
+    """(node, root) of the components of ``roots`` (node, root), settled, and ``links`` (a, b): only links between two of them are looked at."""
+    known = _store.few(roots, n_rows)
+    r, s = known.select(F.col("node").alias("a"), F.col("root").alias("r")), known.select(F.col("node").alias("b"), F.col("root").alias("s"))
+    ends = links.distinct().join(r, "a", "left").join(s, "b", "left").select(F.coalesce("r", "a").alias("r"), F.coalesce("s", "b").alias("s"))
+    between = ends.where("r <> s").select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
+    return components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(between))
+
+
 def classes(rows: DataFrame, texts: DataFrame, n_rows: int, *, similarity: float = SIMILARITY, pairs_up_to: int = PAIRS_UP_TO, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES, part_texts: int = PART_TEXTS) -> DataFrame:
     """(node, root) of the components of ``rows`` (row, print), at most ``n_rows``; ``texts`` (row, text) has their texts."""
     rows = _store.materialize(rows, "prints", narrow=True)
     parts = 1 << (max(1, -(-n_rows // part_texts)) - 1).bit_length()
     met = _store.materialize_parts([_met(rows, first, parts, pairs_up_to) for first in range(0, shape(n_rows)[0], BLOCKS_AT_ONCE)], "met", narrow=True)
-    groups = components(met.select("a", "b"))
+    # First each text's nearest one, so that few links are left for the rounds of the others.
+    best = _store.materialize(met.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")).select("a", "b"), "best", narrow=True)
+    groups = _joined(components(best), met.select("a", "b"), n_rows)
     members = _store.materialize(groups.select(F.col("root").alias("crowd"), F.col("node").alias("row")).union(groups.select("root", "root").distinct()), "members", narrow=True)
     sets = _sets(texts, members.select("row"), n_rows)
     sized = members.join(_store.few(sets.select("row", "n"), n_rows), "row")
@@ -409,8 +420,9 @@ def classes(rows: DataFrame, texts: DataFrame, n_rows: int, *, similarity: float
     if large.limit(1).count() == 0:
         return components(links)
     members = _store.materialize(members.join(_store.few(large, n_rows), "crowd", "left_semi"), "crowds", narrow=True)
-    best = met.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")).join(_store.few(members.select(F.col("row").alias("b")), n_rows), "b", "left_semi").select("a", "b")
-    roots = components(_verified(best, sets, n_rows, similarity))
+    inside = _store.few(members.select("row"), n_rows)
+    sets = _store.materialize(sets.join(inside, "row", "left_semi"), "crowd-sets")
+    roots = components(_verified(best.join(inside.withColumnRenamed("row", "b"), "b", "left_semi"), sets, n_rows, similarity))
     named = members.join(_store.few(roots, n_rows), F.col("row") == F.col("node"), "left").select("crowd", "row", F.coalesce("root", "row").alias("root"))
     core = named.groupBy("crowd", "root").agg(F.count("*").alias("texts")).groupBy("crowd").agg(F.max_by("root", F.struct("texts", -F.col("root"))).alias("core"))
     placed = named.join(_store.few(core, n_rows), "crowd").select("crowd", "row", (F.col("root") == F.col("core")).alias("core"))
