@@ -18,6 +18,18 @@ def _named(counted: DataFrame, k: int, canonical: bool, purpyr: bool) -> DataFra
     return raw.withColumn("motif", seq.canonical(motif) if canonical or purpyr else motif).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
+#: Contigs whose lengths, of about 100 bytes each, are broadcast.
+BROADCAST_CONTIGS = 100_000
+
+
+def _with_lengths(df: DataFrame, contigs: DataFrame) -> DataFrame:
+    """``df`` with its contig's length; the contigs, of which a genome has few, go to the reads, which aren't moved unless there are very many contigs."""
+    rows = contigs.limit(BROADCAST_CONTIGS + 1).collect()
+    if len(rows) <= BROADCAST_CONTIGS:
+        contigs = F.broadcast(contigs.sparkSession.createDataFrame(rows, contigs.schema))
+    return df.join(contigs, "chrom")
+
+
 def cut_site(df: DataFrame, tiled: DataFrame, contigs: DataFrame, k: int = 4, tile_size: int = 32, purpyr: bool = False, by_size: tuple[int, int] | None = None, use_insert: bool = True, require: int | None = None, exclude: int = S.EXCLUDED, mapq: int = 60) -> DataFrame:
     """sample_id, motif, (size,) n: the k bases around each read's 5' end in the reference, as canonical k-mers.
 
@@ -25,7 +37,7 @@ def cut_site(df: DataFrame, tiled: DataFrame, contigs: DataFrame, k: int = 4, ti
     contig's end, and motifs with other letters than A, C, G, T, don't count.
     """
     half = k // 2
-    placed = df.where(reads.kept(require, exclude, mapq)).join(contigs, "chrom")
+    placed = _with_lengths(df.where(reads.kept(require, exclude, mapq)), contigs)
     placed = placed.where((F.col("reference_start") > half) & (F.col("reference_end") < F.col("length") - half)).drop("length")
     cut = F.when(reads.is_reverse(), F.col("reference_end")).otherwise(F.col("reference_start"))
     # Reads that cut at one place are counted before they meet the reference.

@@ -411,6 +411,26 @@ def test_cut_sites_of_odd_length(spark, k):
     assert {r["motif"]: r["n"] for r in got.collect()} == expected
 
 
+@pytest.mark.parametrize("most", [2, 1])
+def test_cut_sites_by_contig_however_many_are_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(motifs, "BROADCAST_CONTIGS", most)
+    text = {"c": "ACGGTCAATTGCCGAT" * 4, "d": "GGATCCTTAACGTAGC" * 2}
+    tiled = spark.createDataFrame([(c, i, t[8 * i : 8 * i + 8]) for c, t in text.items() for i in range(len(t) // 8)], "chrom string, tile long, seq string")
+    starts = [("c", 3), ("c", 21), ("c", 43), ("d", 3), ("d", 9), ("d", 10), ("e", 9)]
+    df = spark.createDataFrame([("s", "q", 0, c, a, a + 20, 60, "20M", 40, 20, "A" * 20) for c, a in starts], S.READS)
+    lengths = spark.createDataFrame([(c, len(t)) for c, t in text.items()], "chrom string, length long")
+    expected = {}
+    for c, a in starts:
+        if a + 20 < len(text.get(c, "")) - 2:
+            m = text[c][a - 2 : a + 2]
+            m = min(m, m[::-1].translate(str.maketrans("ACGT", "TGCA")))
+            expected[m] = expected.get(m, 0) + 1
+    assert sum(expected.values()) == 4
+    found = motifs.cut_site(df, tiled, lengths, tile_size=8)
+    assert ("BroadcastHashJoin [chrom#" in found._jdf.queryExecution().executedPlan().toString()) == (most == 2)
+    assert {r["motif"]: r["n"] for r in found.collect()} == expected
+
+
 def test_genes_of_one_name_and_windows_without_runs(spark):
     signal = spark.createDataFrame([("s", "1", 0, 5000, 3), ("s", "1", 5000, 9000, 1)], "sample_id string, chrom string, p long, p_end long, wps long")
     genes = spark.createDataFrame([("g1", "N", "1", "+", 0, 10, 0), ("g2", "N", "1", "+", 4000, 4010, 1), ("g3", "far", "2", "+", 0, 10, 2)], "gene_id string, gene string, chrom string, strand string, start long, end long, ord long")

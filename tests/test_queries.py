@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -48,3 +49,16 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 8 * 63
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["csm_k5", "csm_by_size"])
+def test_reads_are_not_moved_by_contig(spark, sf, name):
+    """A genome has few contigs: shuffled by them alone, all reads would be in a few tasks."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the reads were many
+    try:
+        plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert re.search(r"BroadcastHashJoin \[chrom#\d+\]", plan)
+    assert not re.search(r"hashpartitioning\(chrom#\d+, \d+\)", plan)
