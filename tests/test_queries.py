@@ -51,7 +51,7 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["csm_k5", "csm_by_size", "csm_motifs", "csm_purpyr"])
+@pytest.mark.parametrize("name", ["csm_k5", "csm_by_size", "csm_motifs", "csm_purpyr", "embedding_pca"])
 def test_reads_are_not_moved_by_contig(spark, sf, name):
     """A genome has few contigs: shuffled by them alone, all reads would be in a few tasks."""
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
